@@ -18,50 +18,52 @@ from tailseries.functions.measures import below, crossing_probability, pinball
 EXPECTED_RANGES = {"f1": (0.2, 0.4), "roc_auc": (0.7, 0.85)}
 
 
-def future_targets(
+def add_future(
     df: DataFrame,
     *,
+    columns: Mapping[str, str],
     horizons: Sequence[int] = (1, 2, 3, 4),
     keys: Sequence[str] = C.SERIES_KEYS,
     index_col: str = C.TIME_INDEX,
-    time_col: str = C.TIME,
-    columns: Mapping[str, str],
-    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per origin and horizon with ``columns`` taken that many steps later.
+    """Values that many steps later, as ``<name>_<h>`` next to each row.
 
-    Steps are counted on the time index, so a missing week gives no target. All horizons
-    share one window, and origins without a known target are left out.
+    Steps are counted on the time index, so a missing week gives NULL and not the week after
+    it. All horizons share one window.
     """
     series = W.partitionBy(*keys).orderBy(index_col)
     value = F.struct(*[F.col(c).alias(name) for c, name in columns.items()])
-    ahead = {
-        f"_h{h}": F.first(value).over(series.rangeBetween(h, h)) for h in horizons
-    }
+    ahead = {f"_h{h}": F.first(value).over(series.rangeBetween(h, h)) for h in horizons}
+    flat = {f"{n}_{h}": F.col(f"_h{h}")[n] for h in horizons for n in columns.values()}
+    return df.withColumns(ahead).withColumns(flat).drop(*ahead)
+
+
+def unfold_horizons(
+    df: DataFrame,
+    *,
+    columns: Sequence[str],
+    keep: Sequence[str],
+    horizons: Sequence[int],
+    time_col: str = C.TIME,
+) -> DataFrame:
+    """Columns ``<name>_<h>`` to one row per horizon, with ``origin`` and the target week.
+
+    Origins without a known target, the first of ``columns``, are left out.
+    """
     steps = F.array(
         *[
             F.struct(
                 F.lit(h).alias("horizon"),
                 F.date_add(F.col(time_col), 7 * h).alias("_at"),
-                *[F.col(f"_h{h}")[n].alias(n) for n in columns.values()],
+                *[F.col(f"{c}_{h}").alias(c) for c in columns],
             )
             for h in horizons
         ]
     )
-    first = next(iter(columns.values()))
-    kept = [c for c in carry if c not in (*keys, time_col)]
     return (
-        df.withColumns(ahead)
-        .withColumn("_step", F.explode(steps))
-        .where(F.col("_step")[first].isNotNull())
-        .select(
-            *keys,
-            *kept,
-            F.col(time_col).alias("origin"),
-            F.col("_step.horizon").alias("horizon"),
-            F.col("_step._at").alias(time_col),
-            *[F.col("_step")[n].alias(n) for n in columns.values()],
-        )
+        df.select(*keep, F.col(time_col).alias("origin"), F.inline(steps))
+        .where(F.col(columns[0]).isNotNull())
+        .withColumnRenamed("_at", time_col)
     )
 
 
@@ -78,16 +80,21 @@ def persistence(
 ) -> DataFrame:
     """Baseline forecast: the last known value as of the origin."""
     upto = W.partitionBy(*keys).orderBy(index_col).rowsBetween(W.unboundedPreceding, 0)
-    held = df.withColumn("predicted", F.last(target, ignorenulls=True).over(upto))
-    return future_targets(
-        held,
+    held = df.withColumn("predicted", F.last(target, ignorenulls=True).over(upto)).transform(
+        add_future,
+        columns={target: "actual", weight: C.WEIGHT},
         horizons=horizons,
         keys=keys,
         index_col=index_col,
+    )
+    keep = [*keys, *[c for c in carry if c not in keys], "predicted"]
+    return unfold_horizons(
+        held.where(F.col("predicted").isNotNull()),
+        columns=["actual", C.WEIGHT],
+        keep=keep,
+        horizons=horizons,
         time_col=time_col,
-        columns={target: "actual", weight: C.WEIGHT},
-        carry=["predicted", *carry],
-    ).where(F.col("predicted").isNotNull())
+    )
 
 
 def weighted_scores(predictions: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:

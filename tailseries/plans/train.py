@@ -13,7 +13,7 @@ from tailseries.models.forecast import (
     DEFAULT_HYPERPARAMETERS,
     Forecaster,
     fit_forecaster,
-    training_frame,
+    model_frame,
 )
 from tailseries.operators.audit import dataset_profile, weight_check
 from tailseries.operators.evaluate import metrics_by_horizon
@@ -58,7 +58,7 @@ def train(
             settings={"train_ratio": ratio},
         )
         write_manifest(manifest, f"{path}/manifest")
-        rows, inputs = training_frame(
+        frame = model_frame(
             split,
             features=features,
             keys=[*keys, "split"],
@@ -66,11 +66,11 @@ def train(
             decoder_length=int(settings["decoder_length"]),
         )
         model = fit_forecaster(
-            rows.where(F.col("split") == "train"), inputs, kind=kind, parameters=settings
+            frame.where(F.col("split") == "train"), kind=kind, parameters=settings
         )
         model.save(f"{path}/model")
-        held_out = rows.where(F.col("split") == "validation").na.drop("any", subset=inputs)
-        model.predict(held_out).write.mode("overwrite").parquet(f"{path}/validation")
+        forecast = model.predict(frame.where(F.col("split") == "validation"))
+        forecast.write.mode("overwrite").parquet(f"{path}/validation")
     finally:
         split.unpersist()
     validation = labelled.sparkSession.read.parquet(f"{path}/validation")

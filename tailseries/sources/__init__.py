@@ -13,6 +13,7 @@ from tailseries.sources.tables import (
     read_weather_daily,
     read_weather_long,
     scratch_path,
+    staged,
     write_series_table,
     write_weather_daily,
 )
@@ -27,6 +28,7 @@ __all__ = [
     "read_weather_long",
     "run_manifest",
     "scratch_path",
+    "staged",
     "write_leaderboard",
     "write_manifest",
     "write_series_table",

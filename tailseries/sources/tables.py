@@ -24,6 +24,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several steps read, and read it back.
+
+    It lies in the shared scratch folder, so it survives the loss of executors, and readers
+    fetch only the columns they use.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def read_weather_long(
     spark: SparkSession, path: str, *, stations: Sequence[str] | None = None
 ) -> DataFrame:
