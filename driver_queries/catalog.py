@@ -273,14 +273,14 @@ def daily_table(spark, sf_dir):
        round(p."O2_umol_L", 6) AS "O2_umol_L", round(n.value, 6) AS value,
        CAST(n.seen AS DATE) AS seen
 FROM placed p LEFT JOIN (
-  SELECT nation, at, seen, value FROM (
-    SELECT l.nation_id AS nation, l."Date" AS at, r.date AS seen, r.value,
+  SELECT nation, left_date, seen, value FROM (
+    SELECT l.nation_id AS nation, l."Date" AS left_date, r.date AS seen, r.value,
            row_number() OVER (PARTITION BY l.nation_id, l."Date"
              ORDER BY abs(date_diff('day', l."Date", r.date)), r.date) AS k
     FROM (SELECT DISTINCT nation_id, "Date" FROM placed) l
     JOIN (SELECT nation_id, date, avg(value) AS value FROM readings GROUP BY 1, 2) r
       ON r.nation_id = l.nation_id AND abs(date_diff('day', l."Date", r.date)) <= 3)
-  WHERE k = 1) n ON n.nation = p.nation_id AND n.at = p."Date" """, "placed", "readings")
+  WHERE k = 1) n ON n.nation = p.nation_id AND n.left_date = p."Date" """, "placed", "readings")
 )
 def asof_nearest(spark, sf_dir):
     """Each sample with the nearest reading of its nation within three days."""
@@ -834,18 +834,18 @@ def threshold_sweep(spark, sf_dir):
 
 
 # Rank-sum form of the area under the curve, ties at their mean rank.
-_AUC = """CASE WHEN p * n > 0 THEN (ranks - p * (p + 1) / 2) / (p * n) END"""
+_AUC = """CASE WHEN np * nn > 0 THEN (ranks - np * (np + 1) / 2) / (np * nn) END"""
 
 
 def _auc_sql(groups: str) -> str:
-    return f"""SELECT {groups}, count(*) FILTER (y < 60) AS p, count(*) FILTER (y >= 60) AS n,
+    return f"""SELECT {groups}, count(*) FILTER (y < 60) AS np, count(*) FILTER (y >= 60) AS nn,
          sum(CASE WHEN y < 60 THEN r END) AS ranks
   FROM (SELECT *, rank() OVER (PARTITION BY {groups} ORDER BY x DESC)
                + (count(*) OVER (PARTITION BY {groups}, x) - 1) / 2 AS r FROM {_WXY})
   GROUP BY {groups}"""
 
 
-@query(sql(f"""SELECT split, p AS n_positive, n AS n_negative, round({_AUC}, 6) AS roc_auc
+@query(sql(f"""SELECT split, np AS n_positive, nn AS n_negative, round({_AUC}, 6) AS roc_auc
 FROM ({_auc_sql("split")})""", "forecasts"))
 def roc_auc(spark, sf_dir):
     return _rounded_scores(evaluate.roc_auc(R.baseline(spark, sf_dir), by=["split"]))

@@ -15,8 +15,8 @@ def _cte(name: str, needs: tuple[str, ...], text: str) -> None:
 
 _cte("obs", (), """
     SELECT l_suppkey AS station_id, CAST(l_linenumber AS DOUBLE) AS "Depth_m",
-           l_shipdate AS "Date", l_quantity * 10 AS "O2_umol_L", l_extendedprice AS "Temp_C",
-           l_discount AS "Chl_a", l_tax AS "Salinity"
+           l_shipdate AS "Date", l_quantity * 10 AS "O2_umol_L", round(l_extendedprice) AS "Temp_C",
+           round(l_discount * 100) AS "Chl_a", round(l_tax * 100) AS "Salinity"
     FROM lineitem""")
 _cte("extent", ("obs",), """
     SELECT CAST(min("Date") AS DATE) AS first_day, CAST(max("Date") AS DATE) AS last_day FROM obs""")
@@ -131,7 +131,7 @@ _cte("banded", ("forecasts", "labelled"), f"""
 # Weather by nation, its nearest day for every sample, and the table with both.
 _cte("readings", (), """
     SELECT c_nationkey AS nation_id, o_orderdate AS date, o_orderpriority AS parameter,
-           o_totalprice / 1000 AS value
+           round(o_totalprice / 1000) AS value
     FROM orders JOIN customer ON c_custkey = o_custkey
     WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')""")
 _cte("wide", ("readings",), """

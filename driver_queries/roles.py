@@ -2,7 +2,8 @@
 
 ``lineitem``: a supplier is a station, a line number a depth (1 surface, 4 target), the
 ship date the time of the sample. ``orders``: prices by customer nation and order priority
-are weather readings. ``events``: readings of several kinds per user.
+are weather readings. ``events``: readings of several kinds per user. Values are whole
+numbers, so that sums do not depend on the order of the rows.
 """
 
 from __future__ import annotations
@@ -44,9 +45,9 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").cast("double").alias("Depth_m"),
         F.col("l_shipdate").cast("timestamp").alias("Date"),
         (F.col("l_quantity") * 10).alias("O2_umol_L"),
-        F.col("l_extendedprice").alias("Temp_C"),
-        F.col("l_discount").alias("Chl_a"),
-        F.col("l_tax").alias("Salinity"),
+        F.round("l_extendedprice").alias("Temp_C"),
+        F.round(F.col("l_discount") * 100).alias("Chl_a"),
+        F.round(F.col("l_tax") * 100).alias("Salinity"),
     )
 
 
@@ -82,7 +83,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
             "nation_id",
             F.col("o_orderdate").cast("timestamp").alias("date"),
             F.col("o_orderpriority").alias("parameter"),
-            (F.col("o_totalprice") / 1000).alias("value"),
+            F.round(F.col("o_totalprice") / 1000).alias("value"),
         )
     )
 
@@ -112,6 +113,7 @@ def full_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined,
         value_cols=OCEAN + WEATHER,
         extent=time_extent(observations(spark, sf_dir)),
+        cluster_by=["station_id"],
     )
 
 

@@ -35,6 +35,28 @@ def add_surface_values(
     return joined.select(*target.columns, *columns.values())
 
 
+def spread_surface_values(
+    df: DataFrame,
+    *,
+    on: Sequence[str] = (C.STATION, C.TIME),
+    depth_col: str = C.DEPTH,
+    surface_depth: float = C.SURFACE_DEPTH_M,
+    columns: Mapping[str, str] = SURFACE_COLUMNS,
+) -> DataFrame:
+    """The same lookup when surface and target rows come out of one costly table.
+
+    The table is evaluated once, and not shuffled again if it is clustered by the place.
+    Rows of a group are the depths of one place and time.
+    """
+    at_surface = F.when(F.col(depth_col) == surface_depth, F.struct(*columns))
+    found = F.max(at_surface).over(W.partitionBy(*on))
+    return (
+        df.withColumn("_surface", found)
+        .withColumns({name: F.col("_surface")[c] for c, name in columns.items()})
+        .drop("_surface")
+    )
+
+
 def add_vertical_gradients(df: DataFrame) -> DataFrame:
     """Surface minus bottom, for temperature and oxygen."""
     return df.withColumns(
@@ -105,9 +127,35 @@ def engineer_features(
     count rows. ``keys`` must end with the depth; the ones before it name the place.
     """
     place = [k for k in keys if k != C.DEPTH]
-    df = target.transform(
+    return target.transform(
         add_surface_values, all_depths, on=[*place, time_col], surface_depth=surface_depth
-    ).transform(add_vertical_gradients)
+    ).transform(_derive, keys=keys, time_col=time_col, include_change=include_change)
+
+
+def engineer_features_at(
+    weekly: DataFrame,
+    target_depth: float = C.TARGET_DEPTH_M,
+    *,
+    keys: Sequence[str] = C.SERIES_KEYS,
+    time_col: str = C.TIME,
+    surface_depth: float = C.SURFACE_DEPTH_M,
+    include_change: bool = True,
+) -> DataFrame:
+    """All features of one depth of the weekly table, which is evaluated once."""
+    place = [k for k in keys if k != C.DEPTH]
+    return (
+        weekly.where(F.col(C.DEPTH).isin(surface_depth, target_depth))
+        .transform(spread_surface_values, on=[*place, time_col], surface_depth=surface_depth)
+        .where(F.col(C.DEPTH) == target_depth)
+        .transform(_derive, keys=keys, time_col=time_col, include_change=include_change)
+    )
+
+
+def _derive(
+    df: DataFrame, *, keys: Sequence[str], time_col: str, include_change: bool
+) -> DataFrame:
+    """Features that need the surface values or the rows before."""
+    df = df.transform(add_vertical_gradients)
     if include_change:
         df = df.transform(add_change, keys=keys, time_col=time_col)
     return df.transform(add_mixing_energy).transform(add_lags, keys=keys, time_col=time_col)

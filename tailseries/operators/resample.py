@@ -57,7 +57,8 @@ def _unfold(
     value_cols: Sequence[str],
     extent: DataFrame,
     extent_by: Sequence[str],
-    extra: dict[str, Column] | None = None,
+    ends: dict[str, Column] | None = None,
+    lines: dict[str, Column] | None = None,
 ) -> DataFrame:
     """One row per grid week, next to the columns of the data week it was unfolded from.
 
@@ -78,11 +79,12 @@ def _unfold(
             "_to": F.least(
                 F.coalesce(F.lead("_i").over(asc) - 1, F.col("_grid.steps")), F.col("_grid.steps")
             ),
-            **(extra or {}),
+            **(ends or {}),
         }
     )
     return (
         ordered.where(F.col("_from") <= F.col("_to"))
+        .withColumns(lines or {"_line": F.lit(None)})
         .withColumn("_j", F.explode(F.sequence("_from", "_to")))
         .withColumn(time_col, F.date_add(F.col("_grid.start"), F.col("_j") * 7))
     )
@@ -122,21 +124,28 @@ def weekly_grid(
     )
 
 
-def _filled(index: Column, before: Column, after: Column, limit: int) -> Column:
-    """Value at ``index`` between two known points, each a struct of index and value.
+def _line(before: Column, after: Column, limit: int) -> Column:
+    """The line to follow between two known points, each a struct of index and value.
 
-    Past the last or ahead of the first known point the nearest one is repeated; in between,
-    the straight line is followed for at most ``limit`` steps.
+    Value at index ``j`` is ``base + slope * (j - at)`` up to ``upto``. Past the last or ahead
+    of the first known point the nearest one is repeated.
     """
-    steps = index - before["i"]
-    slope = (after["v"] - before["v"]) / (after["i"] - before["i"])
-    return (
-        F.when(before.isNull(), after["v"])
-        .when(after.isNull(), before["v"])
-        .when(steps <= limit, before["v"] + slope * steps)
+    end = F.lit(2**31 - 1)
+    slope = F.try_divide(after["v"] - before["v"], (after["i"] - before["i"]).cast("double"))
+    flat = before.isNull() | after.isNull()
+    return F.struct(
+        F.coalesce(before["v"], after["v"]).alias("base"),
+        F.coalesce(slope, F.lit(0.0)).alias("slope"),
+        F.coalesce(before["i"], F.lit(0)).alias("at"),
+        F.when(flat, end).otherwise(before["i"] + F.lit(limit)).alias("upto"),
     )
 
 
+def _on_line(index: Column, line: Column) -> Column:
+    value = line["base"] + line["slope"] * (index - line["at"])
+    return F.when(index <= line["upto"], value)
+
+
 def weekly_series(
     df: DataFrame,
     *,
@@ -147,24 +156,29 @@ def weekly_series(
     extent: DataFrame | None = None,
     extent_by: Sequence[str] = (),
     observed_flags: bool = False,
+    cluster_by: Sequence[str] = (),
 ) -> DataFrame:
     """The prepared weekly table: means, gaps filled, time index and month encoding.
 
     Of a gap between two known weeks the first ``limit`` are interpolated and the rest
     stays NULL; leading and trailing gaps repeat the nearest known value; a column without
-    any value stays NULL. ``observed_flags`` adds ``<column>_observed``.
+    any value stays NULL. ``observed_flags`` adds ``<column>_observed``. ``cluster_by``, some
+    of the keys, puts all series of one place together, so that later steps within a place
+    need no further shuffle; the weeks of a place must fit a task.
     """
     extent = extent if extent is not None else time_extent(df, time_col=time_col, by=extent_by)
     weeks = weekly_mean(df, keys=keys, time_col=time_col, value_cols=value_cols)
+    if cluster_by:
+        weeks = weeks.repartition(*[F.col(c) for c in cluster_by])
     # The backward look is a forward frame over descending order: a frame that ends at
     # "unbounded following" would be evaluated anew for every row.
     upto = W.partitionBy(*keys).orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
     after = W.partitionBy(*keys).orderBy(F.desc("_i")).rowsBetween(W.unboundedPreceding, -1)
-    extra = {}
+    ends = {}
     for c in value_cols:
         point = F.when(F.col(c).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(c).alias("v")))
-        extra[f"_prev_{c}"] = F.last(point, ignorenulls=True).over(upto)
-        extra[f"_next_{c}"] = F.last(point, ignorenulls=True).over(after)
+        ends[f"_prev_{c}"] = F.last(point, ignorenulls=True).over(upto)
+        ends[f"_next_{c}"] = F.last(point, ignorenulls=True).over(after)
     rows = _unfold(
         weeks,
         keys=keys,
@@ -172,17 +186,18 @@ def weekly_series(
         value_cols=value_cols,
         extent=extent,
         extent_by=extent_by,
-        extra=extra,
+        ends=ends,
+        lines={
+            f"_line_{c}": _line(F.col(f"_prev_{c}"), F.col(f"_next_{c}"), limit)
+            for c in value_cols
+        },
     )
     j, i = F.col("_j"), F.col("_i")
     values, flags = [], []
     for c in value_cols:
-        prev, nxt = F.col(f"_prev_{c}"), F.col(f"_next_{c}")
-        values.append(
-            F.when(j < i, F.coalesce(F.col(c), nxt["v"]))
-            .otherwise(_filled(j, prev, nxt, limit))
-            .alias(c)
-        )
+        ahead_of_all = F.coalesce(F.col(c), F.col(f"_next_{c}.v"))
+        inside = _on_line(j, F.col(f"_line_{c}"))
+        values.append(F.when(j < i, ahead_of_all).otherwise(inside).alias(c))
         flags.append(((j == i) & F.col(c).isNotNull()).alias(f"{c}_observed"))
     return rows.select(
         *keys,
@@ -213,7 +228,6 @@ def interpolate_bounded(
         ends[f"_prev_{c}"] = F.last(point, ignorenulls=True).over(asc)
         ends[f"_next_{c}"] = F.last(point, ignorenulls=True).over(desc)
     filled = {
-        c: F.coalesce(F.col(c), _filled(i, F.col(f"_prev_{c}"), F.col(f"_next_{c}"), limit))
-        for c in value_cols
+        c: _on_line(i, _line(F.col(f"_prev_{c}"), F.col(f"_next_{c}"), limit)) for c in value_cols
     }
     return df.withColumns(ends).withColumns(filled).select(*df.columns)

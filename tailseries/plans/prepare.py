@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tailseries import config as C
 from tailseries.operators.asof import asof_nearest
-from tailseries.operators.features import engineer_features
+from tailseries.operators.features import engineer_features_at
 from tailseries.operators.harmonize import fill_missing, present, union_sources
-from tailseries.operators.labels import drop_incomplete, label_risk, select_depth
+from tailseries.operators.labels import drop_incomplete, label_risk
 from tailseries.operators.resample import time_extent, weekly_series
 from tailseries.sources.delimited import read_delimited
 
@@ -70,7 +70,11 @@ def prepare_weekly(
     extent = time_extent(observations if extent_from is None else extent_from)
     rows = observations if depths is None else observations.where(F.col(C.DEPTH).isin(list(depths)))
     return weekly_series(
-        rows, keys=keys, value_cols=present(rows, C.VALUE_COLUMNS), extent=extent
+        rows,
+        keys=keys,
+        value_cols=present(rows, C.VALUE_COLUMNS),
+        extent=extent,
+        cluster_by=[k for k in keys if k != C.DEPTH],
     )
 
 
@@ -86,12 +90,12 @@ def labelled_table(
 ) -> DataFrame:
     """Features and labels of the target depth; by default only rows without unknowns.
 
-    The complete grid goes through features and labels first, since lags and changes count
-    rows. Read ``weekly`` from a stored table where it is costly: it is used twice.
+    The complete grid goes through features and labels first, since lags and changes
+    count rows.
     """
-    featured = engineer_features(
-        select_depth(weekly, target_depth),
+    featured = engineer_features_at(
         weekly,
+        target_depth,
         keys=keys,
         surface_depth=surface_depth,
         include_change=include_change,
