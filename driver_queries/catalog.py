@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from driver_queries import roles as R
-from driver_queries.oracle import OVER, SERIES, _weight, named, rounded, sql
+from driver_queries.oracle import OVER, SERIES, named, rounded, sql
 from driver_queries.roles import KEYS, OCEAN, TARGET, WEATHER, r6, table
 from tailseries import config as C
 from tailseries.functions.calendar import month_cos, month_sin
@@ -44,10 +44,6 @@ def query(oracle: str | None = None, name: str | None = None):
     return register
 
 
-def series(*columns) -> list:
-    return [F.col("station_id"), F.col("Depth_m"), *columns]
-
-
 # --- Sources, harmonisation -----------------------------------------------------------------
 
 _FIELDS = ["Date/Time", "Latitude", "Depth water [m]", "Temp [°C]", "Sal", "O2 [µmol/kg]"]
@@ -342,32 +338,32 @@ def series_keys(spark, sf_dir):
     return audit.series_keys(R.observations(spark, sf_dir))
 
 
-@query(sql(f'SELECT {SERIES}, "Date", {rounded(*OCEAN)} FROM weekly', "weekly"))
+@query(sql(f'SELECT {SERIES}, "Date", {named(*OCEAN)} FROM weekly', "weekly"))
 def weekly_mean(spark, sf_dir):
     means = resample.weekly_mean(R.observations(spark, sf_dir), value_cols=OCEAN)
-    return means.select(*KEYS, "Date", *[r6(c) for c in OCEAN])
+    return means.select(*KEYS, "Date", *OCEAN)
 
 
-@query(sql(f'SELECT {SERIES}, "Date", "Time_Idx", {rounded(*OCEAN)} FROM grid', "grid"))
+@query(sql(f'SELECT {SERIES}, "Date", "Time_Idx", {named(*OCEAN)} FROM grid', "grid"))
 def weekly_grid(spark, sf_dir):
     grid = resample.weekly_grid(R.observations(spark, sf_dir), value_cols=OCEAN)
-    return grid.select(*KEYS, "Date", "Time_Idx", *[r6(c) for c in OCEAN])
+    return grid.select(*KEYS, "Date", "Time_Idx", *OCEAN)
 
 
-@query(sql(f"""SELECT {SERIES}, "Date", "Time_Idx", {rounded(*OCEAN)}, "O2_umol_L_observed"
+@query(sql(f"""SELECT {SERIES}, "Date", "Time_Idx", {named(*OCEAN)}, "O2_umol_L_observed"
 FROM filled""", "filled"))
 def interp_bounded(spark, sf_dir):
     rows = R.weekly(spark, sf_dir, observed_flags=True)
-    return rows.select(*KEYS, "Date", "Time_Idx", *[r6(c) for c in OCEAN], "O2_umol_L_observed")
+    return rows.select(*KEYS, "Date", "Time_Idx", *OCEAN, "O2_umol_L_observed")
 
 
-@query(sql(f"""SELECT {SERIES}, "Date", "Time_Idx", {rounded("O2_umol_L")}
+@query(sql(f"""SELECT {SERIES}, "Date", "Time_Idx", "O2_umol_L"
 FROM filled""", "filled"))
 def interp_on_grid(spark, sf_dir):
     """The same filling, applied to a grid that is complete already."""
     grid = resample.weekly_grid(R.observations(spark, sf_dir), value_cols=["O2_umol_L"])
     rows = resample.interpolate_bounded(grid, keys=KEYS, value_cols=["O2_umol_L"])
-    return rows.select(*KEYS, "Date", "Time_Idx", r6("O2_umol_L"))
+    return rows.select(*KEYS, "Date", "Time_Idx", "O2_umol_L")
 
 
 @query(sql("""SELECT "Depth_m", count(*) AS n_weeks, count("O2_umol_L") AS n_known,
@@ -423,21 +419,21 @@ def vertical_gradient(spark, sf_dir):
 
 
 @query(sql(f"""SELECT {SERIES}, "Date",
-       round("O2_umol_L" - lag("O2_umol_L") {OVER}, 6) AS "O2_Derivative_1W" FROM filled""",
+       "O2_umol_L" - lag("O2_umol_L") {OVER} AS "O2_Derivative_1W" FROM filled""",
        "filled"))
 def diff_1w(spark, sf_dir):
-    return features.add_change(R.weekly(spark, sf_dir)).select(*KEYS, "Date", r6("O2_Derivative_1W"))
+    return features.add_change(R.weekly(spark, sf_dir)).select(*KEYS, "Date", "O2_Derivative_1W")
 
 
 _LAGS = ["Chl_a_lag_1W", "Chl_a_lag_2W", "Chl_a_lag_3W", "Chl_a_lag_4W"]
 
 
 @query(sql(f"""SELECT {SERIES}, "Date", {", ".join(
-    f'round(lag("Chl_a", {k}) {OVER}, 6) AS "Chl_a_lag_{k}W"' for k in (1, 2, 3, 4))}
+    f'lag("Chl_a", {k}) {OVER} AS "Chl_a_lag_{k}W"' for k in (1, 2, 3, 4))}
 FROM filled""", "filled"))
 def lags_1_4(spark, sf_dir):
     rows = features.add_lags(R.weekly(spark, sf_dir))
-    return rows.select(*KEYS, "Date", *[r6(c) for c in _LAGS])
+    return rows.select(*KEYS, "Date", *_LAGS)
 
 
 @query("""SELECT o_orderkey, round(power(o_totalprice / 1000, 2), 6) AS "Wind_Mixing_Energy"
@@ -569,21 +565,19 @@ def run_numbers(spark, sf_dir):
     return episodes.mark_runs(R.weekly(spark, sf_dir)).select(*KEYS, "Date", "is_below", "run")
 
 
-_EPISODE = f'{SERIES}, start_date, end_date, duration_weeks, round(min_o2, 6) AS min_o2'
+_EPISODE = f'{SERIES}, start_date, end_date, duration_weeks, min_o2'
 
 
 @query(sql(f"SELECT {_EPISODE} FROM episodes", "episodes"), name="episodes")
 def find_episodes(spark, sf_dir):
     """Flagship: samples to weekly grid to bounded interpolation to episodes per series."""
-    found = episodes.find_episodes(R.weekly(spark, sf_dir))
-    return found.withColumn("min_o2", F.round("min_o2", 6))
+    return episodes.find_episodes(R.weekly(spark, sf_dir))
 
 
 @query(sql(f"""SELECT {_EPISODE} FROM episodes
 WHERE duration_weeks >= 2 AND start_date >= DATE '2000-01-01'""", "episodes"))
 def held_out_events(spark, sf_dir):
-    found = episodes.held_out_events(R.weekly(spark, sf_dir), min_weeks=2, from_date="2000-01-01")
-    return found.withColumn("min_o2", F.round("min_o2", 6))
+    return episodes.held_out_events(R.weekly(spark, sf_dir), min_weeks=2, from_date="2000-01-01")
 
 
 @query(sql("""SELECT "Depth_m", count(*) AS n_episodes, max(duration_weeks) AS longest_weeks
@@ -698,11 +692,11 @@ def _windows(spark, sf_dir):
 
 @query(sql("SELECT 1", "known").replace(
     "SELECT 1", f""", {_PARTS}, {_STEPS}
-SELECT {SERIES}, split, origin, "offset", round("O2_umol_L", 6) AS "O2_umol_L", sample_weight
+SELECT {SERIES}, split, origin, "offset", "O2_umol_L", sample_weight
 FROM steps WHERE n_encoder >= 4 AND n_decoder >= 1"""))
 def enc_dec_windows(spark, sf_dir):
     steps = windows.window_steps(_windows(spark, sf_dir), keys=[*KEYS, "split"])
-    return steps.select(*KEYS, "split", "origin", "offset", r6("O2_umol_L"), C.WEIGHT)
+    return steps.select(*KEYS, "split", "origin", "offset", "O2_umol_L", C.WEIGHT)
 
 
 @query(sql("SELECT 1", "known").replace(
@@ -735,12 +729,12 @@ def group_scaling(spark, sf_dir):
 # --- Evaluation on the persistence baseline -------------------------------------------------
 
 
-@query(sql(f"""SELECT {SERIES}, split, origin, horizon, "Date", {rounded("actual", "predicted")},
+@query(sql(f"""SELECT {SERIES}, split, origin, horizon, "Date", actual, predicted,
        sample_weight FROM forecasts""", "forecasts"))
 def persistence(spark, sf_dir):
     rows = R.baseline(spark, sf_dir)
     return rows.select(
-        *KEYS, "split", "origin", "horizon", "Date", r6("actual"), r6("predicted"), C.WEIGHT
+        *KEYS, "split", "origin", "horizon", "Date", "actual", "predicted", C.WEIGHT
     )
 
 
@@ -765,8 +759,6 @@ def weighted_scores(spark, sf_dir):
 
 def _banded(spark, sf_dir):
     """Baseline with a band: lowest and highest known value of the eight weeks before."""
-    from pyspark.sql import Window as W
-
     past = W.partitionBy(*KEYS).orderBy("Time_Idx").rowsBetween(-7, 0)
     rows = R.split(spark, sf_dir).withColumns(
         {"low": F.min("O2_umol_L").over(past), "high": F.max("O2_umol_L").over(past)}
@@ -903,7 +895,7 @@ FROM banded b JOIN (SELECT * FROM episodes WHERE duration_weeks >= 2
 
 
 @query(sql(f"""SELECT {SERIES}, start_date, end_date, "Date", origin, horizon,
-       {rounded("actual", "predicted", "middle")} FROM ({_STUDY})""", "banded", "episodes"))
+       actual, predicted, middle FROM ({_STUDY})""", "banded", "episodes"))
 def event_study(spark, sf_dir):
     """Observation, persistence and middle of the band for every week of an event."""
     return _study(spark, sf_dir).select(
@@ -913,7 +905,9 @@ def event_study(spark, sf_dir):
         "Date",
         "origin",
         "horizon",
-        *[r6(c) for c in ("actual", "predicted", "middle")],
+        "actual",
+        "predicted",
+        "middle",
     )
 
 

@@ -17,6 +17,7 @@ from tailseries.operators.resample import time_extent, weekly_series
 from tailseries.operators.split import chronological_split
 from tailseries.operators.weather import add_wind_vector, daily_means, pivot_parameters
 from tailseries.plans.prepare import labelled_table
+from tailseries.sources.tables import staged
 
 KEYS = ("station_id", "Depth_m")
 SURFACE, TARGET = 1.0, 4.0
@@ -67,7 +68,8 @@ def known_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chronological_split(labelled(spark, sf_dir))
+    """Every series with its side of the split; stored first, since the cut is looked up in it."""
+    return chronological_split(staged(labelled(spark, sf_dir), "labelled"))
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
