@@ -926,13 +926,26 @@ def event_summary(spark, sf_dir):
 
 # --- Models: fitted, so without SQL ---------------------------------------------------------
 
-_INPUTS = ["Temp_C", "Salinity", "Chl_a", "Wind_U", "Wind_V", "Surface_Temp_C", "Chl_a_lag_2W"]
+_INPUTS = [
+    "Temp_C",
+    "Salinity",
+    "Chl_a",
+    "Surface_Temp_C",
+    "Surface_O2_umol_L",
+    "Vertical_Temp_Grad",
+    "Chl_a_lag_2W",
+]
 
 
 def _model_table(spark, sf_dir):
-    """Labelled rows with their split, stored because every fit reads them."""
-    rows = tables.staged(R.featured(spark, sf_dir, complete_only=True), "labelled")
-    return split.chronological_split(rows)
+    """Rows with all inputs known and their split, stored because every fit reads them."""
+    rows = labels.drop_incomplete(
+        R.featured(spark, sf_dir, complete_only=False), [*_INPUTS, C.TARGET, C.WEIGHT]
+    )
+    kept = rows.select(
+        *KEYS, "Date", "Time_Idx", "month_sin", "month_cos", *_INPUTS, C.TARGET, C.WEIGHT
+    )
+    return split.chronological_split(tables.staged(kept, "labelled"))
 
 
 @query()
@@ -969,7 +982,7 @@ def param_search(spark, sf_dir):
 def forward_selection(spark, sf_dir):
     _, steps = X.forward_selection(
         _model_table(spark, sf_dir),
-        candidates=["Chl_a", "Wind_U"],
+        candidates=["Surface_O2_umol_L", "Chl_a"],
         base=["Temp_C"],
         metric=X.tail_metric(),
     )
@@ -982,12 +995,12 @@ def forward_selection(spark, sf_dir):
 @query()
 def virtual_experiments(spark, sf_dir):
     rows = _model_table(spark, sf_dir)
-    frame = model_frame(rows, features=["Temp_C", "Wind_U"], keys=[*KEYS, "split"])
+    frame = model_frame(rows, features=["Temp_C", "Surface_O2_umol_L"], keys=[*KEYS, "split"])
     model = fit_forecaster(frame.where(F.col("split") == "train"))
     scored = score_scenarios(
         model,
         frame.where(F.col("split") == "validation"),
-        {"as_is": {}, "calm": {"Wind_U": 0.0}, "warm": {"Temp_C": 90000.0}},
+        {"as_is": {}, "low_surface": {"Surface_O2_umol_L": 50.0}, "warm": {"Temp_C": 90000.0}},
     )
     return scored.groupBy("scenario", "horizon").agg(
         F.count(F.lit(1)).alias("n"), F.avg("predicted").alias("mean_predicted")

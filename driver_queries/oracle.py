@@ -14,7 +14,7 @@ def _cte(name: str, needs: tuple[str, ...], text: str) -> None:
 
 
 _cte("obs", (), """
-    SELECT l_suppkey AS station_id, CAST(l_linenumber AS DOUBLE) AS "Depth_m",
+    SELECT l_suppkey AS station_id, l_linenumber AS "Depth_m",
            l_shipdate AS "Date", l_quantity * 10 AS "O2_umol_L", round(l_extendedprice) AS "Temp_C",
            round(l_discount * 100) AS "Chl_a", round(l_tax * 100) AS "Salinity"
     FROM lineitem""")

@@ -20,7 +20,7 @@ from tailseries.plans.prepare import labelled_table
 from tailseries.sources.tables import staged
 
 KEYS = ("station_id", "Depth_m")
-SURFACE, TARGET = 1.0, 4.0
+SURFACE, TARGET = 1, 4
 OCEAN = ("O2_umol_L", "Temp_C", "Chl_a", "Salinity")
 WEATHER = ("Air_Temp_C", "Wind_Speed_ms", "Wind_Dir_deg", "Wind_U", "Wind_V")
 PARAMETERS = {
@@ -43,7 +43,7 @@ def r6(column: str | Column, name: str | None = None) -> Column:
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("station_id"),
-        F.col("l_linenumber").cast("double").alias("Depth_m"),
+        F.col("l_linenumber").alias("Depth_m"),
         F.col("l_shipdate").cast("timestamp").alias("Date"),
         (F.col("l_quantity") * 10).alias("O2_umol_L"),
         F.round("l_extendedprice").alias("Temp_C"),

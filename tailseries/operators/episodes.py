@@ -42,7 +42,8 @@ def find_episodes(
     """One row per episode. Give it the complete grid: runs are runs of rows.
 
     An unknown week ends an episode. ``with_id`` numbers the episodes of a series from 1.
-    The grouping reuses the partitioning of the windows, so there is one shuffle in all.
+    With keys that are not floating-point numbers the grouping reuses the partitioning of
+    the windows, so there is one shuffle in all.
     """
     runs = mark_runs(df, keys=keys, time_col=time_col, target=target, threshold=threshold)
     # Below-runs and other runs alternate and the first below-run has number 1.

@@ -1,5 +1,5 @@
 import random
-from datetime import date, datetime, timedelta
+from datetime import date, datetime
 
 import numpy as np
 import pandas as pd
@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tailseries.operators import resample
-from tests.conftest import MONDAY, column, weeks
+from tests.conftest import column, weeks
 
 SCHEMA = "station_id STRING, Depth_m DOUBLE, Date TIMESTAMP, O2_umol_L DOUBLE"
 
@@ -146,4 +146,3 @@ def test_random_gaps_equal_an_independent_computation(spark, seed):
 def test_interpolation_stays_between_neighbours(spark):
     values = column(prepared(samples(spark, [5.0, None, None, 50.0, None, 20.0])), "O2_umol_L")
     assert 5.0 <= values[1] <= values[2] <= 50.0 and 20.0 <= values[4] <= 50.0
-    assert timedelta(weeks=5) == weeks(6)[-1] - MONDAY
