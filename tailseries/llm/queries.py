@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tailseries.llm.common import read
+from tailseries.llm.html_text import extract_main_text
+from tailseries.llm.mixing import mix_to_targets
 from tailseries.llm.substring_dedup import substring_dedup
 
 
@@ -12,8 +14,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read(spark, sf_dir, "pages"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_to_targets(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_html_text": op3_html_text,
+    "op7_mixing": op7_mixing,
 }
 
 ORACLE = {
