@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tailseries.llm.common import read
 from tailseries.llm.html_text import extract_main_text
+from tailseries.llm.language_id import fit, fold, identify
 from tailseries.llm.mixing import mix_to_targets
 from tailseries.llm.substring_dedup import substring_dedup
 
@@ -18,6 +19,14 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read(spark, sf_dir, "pages"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = fit(docs.where(fold() != 2))
+    return identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(read(spark, sf_dir, "documents"))
 
@@ -25,6 +34,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_html_text": op3_html_text,
+    "op5_language_id": op5_language_id,
     "op7_mixing": op7_mixing,
 }
 
