@@ -124,8 +124,8 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def pieces(column: pa.Array, *, lower: bool = False, size: int = PIECE) -> Iterator[Piece]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a text column, with their hashes; lower folds A to Z."""
+def pieces(column: pa.Array, *, lower: bool = False, size: int = PIECE, hashed: bool = True) -> Iterator[Piece]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a text column, with their hashes if asked for; lower folds A to Z."""
     data, offsets = text_buffers(column)
     for lo, hi in row_groups(offsets, size):
         part = data[offsets[lo] : offsets[hi]]
@@ -141,7 +141,7 @@ def pieces(column: pa.Array, *, lower: bool = False, size: int = PIECE) -> Itera
         cuts = rows[1:-1][rows[1:-1] > 0] - 1
         closes[cuts] = word[cuts]
         ends = np.flatnonzero(closes) + 1
-        hashes = hash_spans(_LOWER[part] if lower else part, starts, ends)
+        hashes = hash_spans(_LOWER[part] if lower else part, starts, ends) if hashed else starts[:0].astype(U64)
         yield Piece(lo, hi, part, rows, starts, ends, np.searchsorted(starts, rows), hashes)
 
 

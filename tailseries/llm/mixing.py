@@ -26,7 +26,7 @@ EXACT = 1 << 15
 
 def _sizes(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        counts = [np.diff(p.first) for p in pieces(batch.column("_text"))]
+        counts = [np.diff(p.first) for p in pieces(batch.column("_text"), hashed=False)]
         sizes = pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column(c) for c in ("_id", "_source", "_hash")] + [sizes], names=["_id", "_source", "_hash", "size"]

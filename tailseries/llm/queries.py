@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tailseries.llm.common import read
 from tailseries.llm.html_text import extract_main_text
 from tailseries.llm.language_id import fit, fold, identify
+from tailseries.llm.line_dedup import line_dedup
 from tailseries.llm.mixing import mix_to_targets
 from tailseries.llm.substring_dedup import substring_dedup
 
@@ -31,11 +32,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(read(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(read(spark, sf_dir, "documents")).drop("_row", "kept_text")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_html_text": op3_html_text,
     "op5_language_id": op5_language_id,
     "op7_mixing": op7_mixing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE = {
@@ -61,5 +67,35 @@ WITH words AS (
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
        sha256(coalesce(k.text, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k USING (doc_id)
+""",
+    "op10_line_dedup": r"""
+WITH each_line AS (
+  SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS pos
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents)
+), lines AS (
+  SELECT doc_id, pos, t[pos] AS line, len(regexp_extract_all(t[pos], '[^\x20\x09-\x0D]+')) AS words FROM each_line
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i FROM lines WHERE words > 0
+), sequences AS (
+  SELECT doc_id, list(line ORDER BY i) AS l, list(words ORDER BY i) AS w FROM numbered GROUP BY doc_id
+), starts AS (
+  SELECT doc_id, l, w, unnest(range(0, len(l))) AS i FROM sequences
+), spans AS (
+  SELECT doc_id, l, w, i, unnest(range(1, least(10, len(l) - i) + 1)) AS m FROM starts
+), runs AS (
+  SELECT doc_id, i, m, array_to_string(list_slice(l, i + 1, i + m), chr(10)) AS run FROM spans
+  WHERE list_sum(list_slice(w, i + 1, i + m)) >= 10
+    AND (m = 1 OR list_sum(list_slice(w, i + 1, i + m - 1)) < 10 OR list_sum(list_slice(w, i + 2, i + m)) < 10)
+), copies AS (
+  SELECT doc_id, i, m, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth FROM runs
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + m)) AS i FROM copies WHERE nth > 1
+), kept AS (
+  SELECT l.doc_id, count(n.i) AS n_lines, count(g.i) AS n_removed,
+         coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.i IS NULL), '') AS text
+  FROM lines l LEFT JOIN numbered n USING (doc_id, pos) LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.i = n.i
+  GROUP BY l.doc_id
+)
+SELECT doc_id, n_lines, n_removed, sha256(text) AS kept_sha256 FROM kept
 """,
 }
