@@ -9,6 +9,7 @@ from tailseries.llm.html_text import extract_main_text
 from tailseries.llm.language_id import fit, fold, identify
 from tailseries.llm.line_dedup import line_dedup
 from tailseries.llm.mixing import mix_to_targets
+from tailseries.llm.near_dedup import near_dedup
 from tailseries.llm.substring_dedup import substring_dedup
 
 
@@ -32,6 +33,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(read(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(read(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read(spark, sf_dir, "documents")).drop("_row", "kept_text")
 
@@ -41,6 +46,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op5_language_id": op5_language_id,
     "op7_mixing": op7_mixing,
+    "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -67,6 +73,36 @@ WITH words AS (
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
        sha256(coalesce(k.text, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k USING (doc_id)
+""",
+    "op9_near_dedup": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), places AS (
+  SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM words WHERE len(w) > 0
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM places
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * same >= 75 * (x.n + y.n - same)
+), both AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS r FROM documents
+  UNION
+  SELECT doc_id, b FROM reached JOIN both ON a = r
+), named AS (
+  SELECT doc_id, min(r) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM named LEFT JOIN sizes USING (doc_id)
 """,
     "op10_line_dedup": r"""
 WITH each_line AS (
