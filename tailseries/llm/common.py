@@ -23,6 +23,8 @@ PIECE = 1 << 20
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Separators for words of letters and digits only; all bytes beyond ASCII count as letters.
+_PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -124,13 +126,18 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def pieces(column: pa.Array, *, lower: bool = False, size: int = PIECE, hashed: bool = True) -> Iterator[Piece]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a text column, with their hashes if asked for; lower folds A to Z."""
+def pieces(
+    column: pa.Array, *, lower: bool = False, size: int = PIECE, hashed: bool = True, bare: bool = False
+) -> Iterator[Piece]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a text column, with their hashes if asked for.
+
+    lower folds A to Z; bare ends words at ASCII punctuation too.
+    """
     data, offsets = text_buffers(column)
     for lo, hi in row_groups(offsets, size):
         part = data[offsets[lo] : offsets[hi]]
         rows = offsets[lo : hi + 1] - offsets[lo]
-        word = ~_SPACE[part]
+        word = ~(_PUNCTUATION if bare else _SPACE)[part]
         begins = word.copy()
         begins[1:] &= ~word[:-1]
         cuts = rows[1:-1][rows[1:-1] < len(part)]

@@ -29,21 +29,24 @@ def _sizes(batches: Iterator[pa.RecordBatch]):
         counts = [np.diff(p.first) for p in pieces(batch.column("_text"), hashed=False)]
         sizes = pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in ("_id", "_source", "_hash")] + [sizes], names=["_id", "_source", "_hash", "size"]
+            [batch.column(c) for c in ("_id", "_source", "_k1", "_k2", "_hash")] + [sizes],
+            names=["_id", "_source", "_k1", "_k2", "_hash", "size"],
         )
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """_id, _source, the seeded hash and the number of words of every document."""
+    """_id, _source, _k1 and _k2 (see row_key), the seeded hash and the number of words of every row."""
     ship(docs.sparkSession)
     kinds = dict(docs.dtypes)
     k1, k2 = row_key(id_col, text_col)
     return docs.select(
         F.col(id_col).alias("_id"),
         F.col(source_col).alias("_source"),
+        k1,
+        k2,
         F.xxhash64(F.lit(seed), k1, k2).alias("_hash"),
         F.col(text_col).alias("_text"),
-    ).mapInArrow(_sizes, f"_id {kinds[id_col]}, _source {kinds[source_col]}, _hash long, size long")
+    ).mapInArrow(_sizes, f"_id {kinds[id_col]}, _source {kinds[source_col]}, _k1 long, _k2 long, _hash long, size long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
@@ -142,21 +145,8 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["_key", "size", "source_size", "target"]].assign(rounds=rounds, extra=extra if rounds < CAP else 0)
 
 
-def mix_to_targets(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    seed: int = 17,
-) -> DataFrame:
-    """How often the mix takes each document: id, size, source_size, target, copies and taken words.
-
-    Sources by code point, null last, weigh 1, 2, 3, repeating; they share the words of the whole
-    table. One row per input row. A null or empty text has size 0 and takes 0 words; null sources are
-    a source of their own; repeated rows are chosen one by one; ids may be null. An empty table gives
-    no rows. Reruns agree: choices depend on seed, id and text only.
-    """
+def _chosen(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """Every row's _id, _source, _k1, _k2 and its results (see mix_to_targets)."""
     sizes = scratch(
         measured(docs, id_col, text_col, source_col, seed).withColumn(
             "_key", F.coalesce(F.concat(F.lit("="), F.col("_source").cast("string")), F.lit(""))
@@ -195,8 +185,10 @@ def mix_to_targets(
         .join(ranges, ["_key", "size", "_range"])
         .withColumn("copies", copies)
         .select(
-            F.col("_id").alias(id_col),
-            F.col("_source").alias(source_col),
+            "_id",
+            "_source",
+            "_k1",
+            "_k2",
             "size",
             "source_size",
             "target",
@@ -204,3 +196,47 @@ def mix_to_targets(
             (F.col("copies") * F.col("size")).alias("taken"),
         )
     )
+
+
+def mix_to_targets(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    seed: int = 17,
+) -> DataFrame:
+    """How often the mix takes each document: id, source, size, source_size, target, copies and taken words.
+
+    Sources by code point, null last, weigh 1, 2, 3, repeating; they share the words of the whole
+    table. One row per input row. A null or empty text has size 0 and takes 0 words; null sources are
+    a source of their own; repeated rows are chosen one by one; ids may be null. An empty table gives
+    no rows. Reruns agree: choices depend on seed, id and text only.
+    """
+    chosen = _chosen(docs, id_col, text_col, source_col, seed).drop("_k1", "_k2")
+    return chosen.withColumnsRenamed({"_id": id_col, "_source": source_col})
+
+
+def mixed(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    seed: int = 17,
+) -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns, that it takes, and how many copies of each.
+
+    A document without words counts for nothing and is left out. Rows equal in id and text are told apart
+    by counting them, so that each gets one of their decisions.
+    """
+    nth = F.row_number().over(W.partitionBy("_k1", "_k2").orderBy(F.lit(0))).alias("_nth")
+    chosen = _chosen(docs, id_col, text_col, source_col, seed).select("_k1", "_k2", "copies", nth)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return (
+        docs.select(*row_key(id_col, text_col), row)
+        .select("_k1", "_k2", "_row", nth)
+        .join(chosen.where("copies > 0"), ["_k1", "_k2", "_nth"])
+        .select("_row.*", F.col("copies").alias("_copies"))
+        .withColumnRenamed("_copies", "copies")
+    )

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tailseries.llm.common import U64, Rolling, mix, packed, pieces, row_key, scratch, ship, unpacked
 
@@ -335,21 +335,8 @@ def near_links(nodes: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return scratch(_grown(found, more), "components")
 
 
-def near_dedup(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 5,
-    percent: int = 75,
-) -> DataFrame:
-    """Components of documents linked by 100 * intersection >= percent * union of their shingle sets.
-
-    One row per input row: id, n_shingles, component_id (smallest id that links reach, its own included)
-    and kept (true for the one row that stays). Texts without words, null ones too, are linked with
-    nothing and kept. Null ids come after all others as names of a component. Of rows with a component's
-    smallest id the one with the smallest text hash stays; rows equal in id and text stay together.
-    """
+def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """Every row's _id, _k1, _k2 and its results (see near_dedup)."""
     ship(docs.sparkSession)
     k1, k2 = row_key(id_col, text_col)
     texts = docs.select(F.col(id_col).alias("_id"), k1, k2, F.col(text_col).alias("_text"))
@@ -373,8 +360,44 @@ def near_dedup(
     names = placed.where("n_shingles > 0").groupBy("component").agg(first)
     own = F.col("n_shingles") == 0
     return placed.join(names, "component", "left").select(
-        F.col("_id").alias(id_col),
-        F.when(own, F.lit(0)).otherwise(F.col("n_shingles")).cast("long").alias("n_shingles"),
+        "_id",
+        "_k1",
+        "_k2",
+        "n_shingles",
         F.when(own, F.col("_id")).otherwise(F.col("first._id")).alias("component_id"),
         (own | (F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_k2") == F.col("first._k2")))).alias("kept"),
     )
+
+
+def near_dedup(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    percent: int = 75,
+) -> DataFrame:
+    """Components of documents linked by 100 * intersection >= percent * union of their shingle sets.
+
+    One row per input row: id, n_shingles, component_id (smallest id that links reach, its own included)
+    and kept (true for the one row that stays). Texts without words, null ones too, are linked with
+    nothing and kept. Null ids come after all others as names of a component. Of rows with a component's
+    smallest id the one with the smallest text hash stays; rows equal in id and text stay together.
+    """
+    labelled = _labelled(docs, id_col, text_col, width, percent)
+    return labelled.select(F.col("_id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def one_of_each(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that near_dedup keeps; of rows equal in id and text only one."""
+    kept = _labelled(docs, id_col, text_col, width, percent).where("kept").select("_k1", "_k2").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return (
+        docs.select(*row_key(id_col, text_col), row)
+        .join(kept, ["_k1", "_k2"])
+        .withColumn("_nth", F.row_number().over(W.partitionBy("_k1", "_k2").orderBy(F.lit(0))))
+        .where("_nth = 1")
+        .select("_row.*")
+    )

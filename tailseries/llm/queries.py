@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tailseries.llm.common import read
+from tailseries.llm.decontaminate import contaminated
 from tailseries.llm.html_text import extract_main_text
 from tailseries.llm.language_id import fit, fold, identify
 from tailseries.llm.line_dedup import line_dedup
@@ -29,6 +30,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(read(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_html_text": op3_html_text,
     "op5_language_id": op5_language_id,
+    "op6_decontamination": op6_decontamination,
     "op7_mixing": op7_mixing,
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
