@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tailseries.llm.chat_format import format_windows, read_back
 from tailseries.llm.common import read
 from tailseries.llm.decontaminate import contaminated
 from tailseries.llm.html_text import extract_main_text
@@ -18,6 +19,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string"
+    )
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return read_back(format_windows(turns))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read(spark, sf_dir, "pages"))
 
@@ -48,6 +58,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_chat_format": op2_chat_format,
     "op3_html_text": op3_html_text,
     "op5_language_id": op5_language_id,
     "op6_decontamination": op6_decontamination,
