@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tailseries.llm.chat_format import format_windows, read_back
 from tailseries.llm.common import read
 from tailseries.llm.decontaminate import contaminated
+from tailseries.llm.fingerprint import fingerprint_edits
 from tailseries.llm.html_text import extract_main_text
 from tailseries.llm.language_id import fit, fold, identify
 from tailseries.llm.line_dedup import line_dedup
@@ -32,6 +33,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read(spark, sf_dir, "pages"))
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(read(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = fit(docs.where(fold() != 2))
@@ -60,6 +65,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_format": op2_chat_format,
     "op3_html_text": op3_html_text,
+    "op4_fingerprint": op4_fingerprint,
     "op5_language_id": op5_language_id,
     "op6_decontamination": op6_decontamination,
     "op7_mixing": op7_mixing,
