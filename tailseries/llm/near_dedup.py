@@ -9,8 +9,9 @@ those; values that one node has need no posting.
 1. Each posting list joins its members to one pivot, its most typical member. These pairs are confirmed
    on full sets. In a group of copies nearly all members meet here, without pairs among them.
 2. Lists whose members are still in different components are merged in blocks: collisions of members of
-   different components are counted, each pair under its first shared posting only, and pairs with
-   MATCHES or more name a node and the component it may belong to.
+   different components are counted, each pair under its first shared posting only. Pairs with MATCHES
+   or more are counted on over FINE further coordinates of 8 bits, and those with FINE_MATCHES in all
+   name a node and the component it may belong to.
 3. Each such node is confirmed on full sets against all members of that component, in blocks.
 
 Links join components; a component's name is its smallest id. Nothing is capped: lists and components of
@@ -28,10 +29,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tailseries.llm.common import U64, Rolling, mix, packed, pieces, row_key, scratch, ship, unpacked
 
 COORDINATES, MATCHES = 40, 17
+FINE, FINE_MATCHES = 216, 160
 BLOCK = 256
 LIST_BLOCK = 1024
 _WORDS = Rolling(0xC2B2AE3D27D4EB4F)
-_SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+_SEEDS = mix(np.arange(1, COORDINATES + FINE + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -81,6 +83,23 @@ def _signatures(width: int):
     return run
 
 
+def _fine(width: int):
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for lo, hi, h, n in shingle_sets(batch.column("_text"), width):
+                signature = np.zeros((hi - lo, FINE), np.uint8)
+                full = np.flatnonzero(n)
+                starts = (np.cumsum(n) - n)[full]
+                for k in range(FINE if len(full) else 0):
+                    signature[full, k] = np.minimum.reduceat(mix(h ^ _SEEDS[COORDINATES + k]), starts) & U64(255)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node").slice(lo, hi - lo), packed(signature.reshape(-1), np.full(hi - lo, FINE))],
+                    names=["node", "fine"],
+                )
+
+    return run
+
+
 def _coordinates(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         values = unpacked(batch.column("signature"), np.uint32)
@@ -144,9 +163,10 @@ def _confirm_pairs(width: int, percent: int):
 
 
 def _merge_lists(table: pa.Table) -> pa.Table:
-    """Nodes of smaller components and larger components in a list, MATCHES collisions or more apart."""
+    """Nodes of smaller components and the larger components that they may belong to, within a list."""
     table = table.combine_chunks()
     signature = unpacked(table.column("signature"), np.uint32).reshape(-1, COORDINATES)
+    fine = unpacked(table.column("fine"), np.uint8).reshape(-1, FINE)
     posted = unpacked(table.column("posted"), np.uint8).reshape(-1, COORDINATES).astype(bool)
     node, own = table.column("node").to_numpy(), table.column("component").to_numpy()
     size, side = table.column("size").to_numpy(), table.column("side").to_numpy()
@@ -164,7 +184,10 @@ def _merge_lists(table: pa.Table) -> pa.Table:
         equal = signature[other] == signature[i]
         # A pair belongs to the first list in which both are posted.
         first = (equal & posted[other] & posted[i]).argmax(axis=1)
-        for j in other[(equal.sum(axis=1) >= MATCHES) & (first == k)]:
+        same = equal.sum(axis=1)
+        near = np.flatnonzero((same >= MATCHES) & (first == k))
+        near = near[same[near] + (fine[other[near]] == fine[i]).sum(axis=1) >= FINE_MATCHES]
+        for j in other[near]:
             small, large = (i, j) if (size[i], own[i]) < (size[j], own[j]) else (j, i)
             found.add((int(node[small]), int(own[large]), int(size[large])))
     rows = sorted(found)
@@ -282,12 +305,15 @@ def near_links(nodes: DataFrame, texts: DataFrame, width: int, percent: int) ->
         .select("k", "v", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("blocks"))
     )
     posted = placed.groupBy("node", "component").agg(F.collect_list("k").alias("ks"))
+    compared = placed.join(open_lists, ["k", "v"]).select("node").distinct()
+    fine = texts.join(compared, "node").select("node", "_text").mapInArrow(_fine(width), "node long, fine binary")
     mask = F.concat(*[F.when(F.array_contains("ks", k), F.lit(b"\1")).otherwise(F.lit(b"\0")) for k in range(COORDINATES)])
     sizes = placed.select("node", "component").distinct().groupBy("component").agg(F.count("*").alias("size"))
     described = (
         posted.select("node", "component", mask.alias("posted"))
         .join(sizes, "component")
         .join(nodes.select("node", "signature"), "node")
+        .join(fine, "node")
         .drop("component")
     )
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
