@@ -13,6 +13,7 @@ from tailseries.llm.language_id import fit, fold, identify
 from tailseries.llm.line_dedup import line_dedup
 from tailseries.llm.mixing import mix_to_targets
 from tailseries.llm.near_dedup import near_dedup
+from tailseries.llm.ngram_score import score_corpus
 from tailseries.llm.substring_dedup import substring_dedup
 
 
@@ -53,6 +54,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(read(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Sums of logarithms differ in their last digits with the order of the sum.
+    scored = score_corpus(read(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", *[F.round(c, 5).alias(c) for c in ("log_score", "mean_log_score")])
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read(spark, sf_dir, "documents"))
 
@@ -69,6 +76,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_decontamination": op6_decontamination,
     "op7_mixing": op7_mixing,
+    "op8_lm_score": op8_lm_score,
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
@@ -96,6 +104,37 @@ WITH words AS (
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
        sha256(coalesce(k.text, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k USING (doc_id)
+""",
+    "op8_lm_score": r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), places AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words
+), grams AS (
+  SELECT doc_id, i, w[i] AS g1, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS g2, w[i - 1] AS h1,
+         CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS g3,
+         CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] END AS h2
+  FROM places
+), c1 AS (
+  SELECT g1 AS g, count(*) AS n FROM grams GROUP BY 1
+), c2 AS (
+  SELECT g2 AS g, count(*) AS n FROM grams WHERE i > 1 GROUP BY 1
+), c3 AS (
+  SELECT g3 AS g, count(*) AS n FROM grams WHERE i > 2 GROUP BY 1
+), scored AS (
+  SELECT doc_id, ln(CASE WHEN i > 2 THEN t.n / b.n WHEN i = 2 THEN bi.n / u.n ELSE w.n / (SELECT count(*) FROM grams) END) AS s
+  FROM grams
+  LEFT JOIN c3 t ON t.g = g3 LEFT JOIN c2 b ON b.g = h2
+  LEFT JOIN c2 bi ON bi.g = g2 AND i = 2 LEFT JOIN c1 u ON u.g = h1 AND i = 2 LEFT JOIN c1 w ON w.g = g1 AND i = 1
+), summed AS (
+  SELECT doc_id, count(*) AS n_words, sum(s) AS log_score FROM scored GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(log_score, 0), 5) AS log_score,
+       round(log_score / n_words, 5) AS mean_log_score
+FROM documents LEFT JOIN summed USING (doc_id)
 """,
     "op9_near_dedup": r"""
 WITH RECURSIVE words AS (
@@ -115,12 +154,12 @@ WITH RECURSIVE words AS (
 ), links AS (
   SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
   WHERE 100 * same >= 75 * (x.n + y.n - same)
-), both AS (
+), edges AS (
   SELECT a, b FROM links UNION SELECT b, a FROM links
 ), reached AS (
   SELECT doc_id, doc_id AS r FROM documents
   UNION
-  SELECT doc_id, b FROM reached JOIN both ON a = r
+  SELECT doc_id, b FROM reached JOIN edges ON a = r
 ), named AS (
   SELECT doc_id, min(r) AS component_id FROM reached GROUP BY doc_id
 )
