@@ -98,8 +98,8 @@ class Model:
         self.full: dict[int, HashArray] = {}
         self.rest: dict[int, HashArray] = {}
         per_language = [self._tables(g, c) for g, c in counts]
-        size = max([1, *(len(t[1][0]) for t in per_language)])
-        self.floor = float(-np.log(size + 1))
+        # One alphabet for all: a language's own would leave more than 1 for the symbols of the others.
+        self.floor = float(-np.log(len(np.unique(np.concatenate([t[1][0] for t in per_language]))) + 1))
         for n in range(1, ORDER + 1):
             contexts = np.unique(np.concatenate([t[n][2] for t in per_language]))
             rest = np.zeros((len(contexts), len(languages)))
