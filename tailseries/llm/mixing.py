@@ -84,8 +84,37 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     )
 
 
+def _knapsack(lengths: np.ndarray, left: np.ndarray, gap: int) -> np.ndarray:
+    """Bounded knapsack over sums 0..gap: how many of each length make the largest sum that can be made."""
+    taken = np.zeros(len(lengths), np.int64)
+    # The step by which each sum was first reached.
+    reached = np.zeros(gap + 1, bool)
+    reached[0] = True
+    via = np.full(gap + 1, -1, np.int64)
+    steps: list[tuple[int, int]] = []
+    for i in np.flatnonzero((left > 0) & (lengths > 0) & (lengths <= gap)):
+        n, part = min(int(left[i]), gap // int(lengths[i])), 1
+        while n and not reached[gap]:
+            part = min(part, n)
+            weight = part * int(lengths[i])
+            new = np.flatnonzero(reached[: gap + 1 - weight] & ~reached[weight:]) + weight
+            reached[new] = True
+            via[new] = len(steps)
+            steps.append((i, part))
+            n -= part
+            part *= 2
+        if reached[gap]:
+            break
+    at = int(np.flatnonzero(reached)[-1])
+    while at:
+        i, part = steps[via[at]]
+        taken[i] += part
+        at -= part * int(lengths[i])
+    return taken
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their words come nearest to, not over, the budget."""
+    """How many documents of each length, ascending, to take so that their words come nearest to, not over, the budget."""
     total = int((lengths * counts).sum())
     taken = np.zeros(len(lengths), np.int64)
     if budget <= 0 or not total:
@@ -111,29 +140,15 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         gap -= n * int(lengths[i])
     if gap > EXACT:
         return taken
-    # Bounded knapsack over sums 0..gap: the step by which each sum was first reached.
-    reached = np.zeros(gap + 1, bool)
-    reached[0] = True
-    via = np.full(gap + 1, -1, np.int64)
-    steps: list[tuple[int, int]] = []
-    for i in np.flatnonzero((left > 0) & (lengths > 0) & (lengths <= gap)):
-        n, part = min(int(left[i]), gap // int(lengths[i])), 1
-        while n and not reached[gap]:
-            part = min(part, n)
-            weight = part * int(lengths[i])
-            new = np.flatnonzero(reached[: gap + 1 - weight] & ~reached[weight:]) + weight
-            reached[new] = True
-            via[new] = len(steps)
-            steps.append((i, part))
-            n -= part
-            part *= 2
-        if reached[gap]:
-            break
-    at = int(np.flatnonzero(reached)[-1])
-    while at:
-        i, part = steps[via[at]]
-        taken[i] += part
-        at -= part * int(lengths[i])
+    taken += _knapsack(lengths, left, gap)
+    gap = budget - int((taken * lengths).sum())
+    if gap:
+        # Few documents are left to choose from: the shortest taken ones, to EXACT words, are chosen anew.
+        back = np.where(np.cumsum(taken * lengths) + gap <= EXACT, taken, 0)
+        again = taken - back
+        again += _knapsack(lengths, counts - again, budget - int((again * lengths).sum()))
+        if ((again - taken) * lengths).sum() > 0:
+            taken = again
     return taken
 
 
