@@ -89,20 +89,25 @@ def _cells(anchors: np.ndarray, row: int, log: int) -> np.ndarray:
     return (mix(anchors ^ _ROWS[row]) >> U64(64 - log)).astype(np.int64)
 
 
+def _block_log(log: int) -> int:
+    return min(BLOCK_LOG, log)
+
+
 def _partition_sketch(text: str, window: int, gram: int, log: int):
-    per_row = 1 << (log - BLOCK_LOG)
+    block_log = _block_log(log)
+    per_row = 1 << (log - block_log)
     schema = pa.schema([("block", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
 
     def emit(held: list[np.ndarray]):
         for row in (0, 1):
             cells, counts = np.unique(_cells(np.concatenate(held), row, log), return_counts=True)
-            blocks = cells >> BLOCK_LOG
+            blocks = cells >> block_log
             sizes = np.bincount(blocks, minlength=per_row)
             keep = np.flatnonzero(sizes)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array((keep + row * per_row).astype(np.int32)),
-                    packed((cells & ((1 << BLOCK_LOG) - 1)).astype(np.uint32), sizes[keep]),
+                    packed((cells & ((1 << block_log) - 1)).astype(np.uint32), sizes[keep]),
                     packed(counts.astype(np.uint32), sizes[keep]),
                 ],
                 schema=schema,
@@ -123,17 +128,20 @@ def _partition_sketch(text: str, window: int, gram: int, log: int):
     return run
 
 
-def _merge_block(table: pa.Table) -> pa.Table:
-    cells = unpacked(table.column("cells"), np.uint32)
-    counts = unpacked(table.column("counts"), np.uint32)
-    total = np.bincount(cells, weights=counts, minlength=1 << BLOCK_LOG)
-    return pa.table(
-        {
-            "block": table.column("block").slice(0, 1),
-            "twice": pa.array([np.packbits(total >= 2).tobytes()], pa.binary()),
-            "hot": pa.array([np.flatnonzero(total >= HOT).astype(np.int64).tobytes()], pa.binary()),
-        }
-    )
+def _merge_block(log: int):
+    def run(table: pa.Table) -> pa.Table:
+        cells = unpacked(table.column("cells"), np.uint32)
+        counts = unpacked(table.column("counts"), np.uint32)
+        total = np.bincount(cells, weights=counts, minlength=1 << _block_log(log))
+        return pa.table(
+            {
+                "block": table.column("block").slice(0, 1),
+                "twice": pa.array([np.packbits(total >= 2).tobytes()], pa.binary()),
+                "hot": pa.array([np.flatnonzero(total >= HOT).astype(np.int64).tobytes()], pa.binary()),
+            }
+        )
+
+    return run
 
 
 class _Sketch:
@@ -141,14 +149,15 @@ class _Sketch:
 
     def __init__(self, rows, log: int):
         self.log = log
-        per_row = 1 << (log - BLOCK_LOG)
+        block_log = _block_log(log)
+        per_row = 1 << (log - block_log)
         self.bits = np.zeros((2, (1 << log) >> 3), np.uint8)
         hot: list[list[np.ndarray]] = [[], []]
         for r in rows:
             row, block = divmod(r["block"], per_row)
-            size = (1 << BLOCK_LOG) >> 3
+            size = (1 << block_log) >> 3
             self.bits[row, block * size : (block + 1) * size] = np.frombuffer(r["twice"], np.uint8)
-            hot[row].append(np.frombuffer(r["hot"], np.int64) + (block << BLOCK_LOG))
+            hot[row].append(np.frombuffer(r["hot"], np.int64) + (block << block_log))
         self.hot = [np.sort(np.concatenate(h)) if h else np.zeros(0, np.int64) for h in hot]
 
     def twice(self, anchors: np.ndarray) -> np.ndarray:
@@ -323,7 +332,7 @@ def repeated_spans(
         texts.select("_text")
         .mapInArrow(_partition_sketch("_text", window, gram, log), "block int, cells binary, counts binary")
         .groupBy("block")
-        .applyInArrow(_merge_block, "block int, twice binary, hot binary")
+        .applyInArrow(_merge_block(log), "block int, twice binary, hot binary")
     )
     sketch = spark.sparkContext.broadcast(_Sketch(merged.toLocalIterator(), log))
     buckets = size // BUCKET_BYTES + 1
