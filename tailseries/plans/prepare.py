@@ -49,7 +49,14 @@ def join_weather(
     by: Sequence[str] = (),
     tolerance: timedelta = timedelta(days=C.ASOF_TOLERANCE_DAYS),
 ) -> DataFrame:
-    """Nearest daily weather within the tolerance; rows without one keep NULLs."""
+    """Nearest daily weather within the tolerance; rows without one keep NULLs.
+
+    Weather of several stations needs ``by``, columns of both tables: without it a row would get
+    the weather of whichever station is nearest in time. One station's weather, for all rows, comes
+    without a station column.
+    """
+    if C.STATION in weather.columns and not by:
+        raise ValueError("weather has stations: name the columns to join by, or select one and drop its column")
     values = present(weather, C.WEATHER_VALUES)
     return asof_nearest(ocean, weather, value_cols=values, by=by, tolerance=tolerance)
 

@@ -1,6 +1,6 @@
 """Readers and writers."""
 
-from tailseries.sources.delimited import parse_lines, read_delimited
+from tailseries.sources.delimited import parse_lines, read_delimited, rejected_lines
 from tailseries.sources.records import (
     best_configuration,
     read_leaderboard,
@@ -22,6 +22,7 @@ __all__ = [
     "best_configuration",
     "parse_lines",
     "read_delimited",
+    "rejected_lines",
     "read_leaderboard",
     "read_manifest",
     "read_weather_daily",

@@ -2,7 +2,8 @@
 
 The files are read as lines, so one large file splits across tasks. Lines carry no order
 there, hence preamble and header are told apart by content, not by line number: a record
-is a line whose first field is a timestamp.
+is a line whose first field is a full date, with or without a time, and that has as many fields
+as the header. ``rejected_lines`` gives the lines that look like records and are none.
 """
 
 from __future__ import annotations
@@ -36,6 +37,56 @@ def _header_fields(lines: DataFrame, profile: C.SourceProfile) -> list[str]:
     return fields
 
 
+#: A year or a time alone is no timestamp: preambles hold them.
+FULL_DATE = r"^\d{4}-\d{2}-\d{2}([T ]|$)"
+
+
+def _split(lines: DataFrame, profile: C.SourceProfile, fields: Sequence[str], keep: Sequence[str]):
+    """Lines with their fields ``r`` by position, first field, and whether they are records.
+
+    ``r._other`` holds the line where its number of fields is not the header's.
+    """
+    # Positional names: header texts hold brackets and may repeat.
+    ddl = ", ".join([*(f"f{i} STRING" for i in range(len(fields))), "_other STRING"])
+    options = {"sep": profile.sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_other"}
+    split = lines.select(
+        *keep,
+        F.col("value"),
+        F.regexp_extract("value", f"^[^{re.escape(profile.sep)}]*", 0).alias("_first"),
+        F.from_csv(F.col("value"), ddl, options).alias("r"),
+    )
+    dated = F.col("_first").rlike(FULL_DATE)
+    whole = F.col("r._other").isNull()
+    return split.withColumns(
+        {
+            "_dated": dated & F.col("value").contains(profile.sep),
+            "_whole": whole,
+            "_record": dated & F.try_to_timestamp("_first").isNotNull() & whole,
+        }
+    )
+
+
+def rejected_lines(
+    lines: DataFrame,
+    profile: C.SourceProfile,
+    *,
+    fields: Sequence[str] | None = None,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """Lines that look like records and are none, with the reason: ``bad_time`` or ``field_count``.
+
+    That is a line with the header's number of fields that has no readable time, or one that starts
+    with a full date and has another number of fields. The rest is preamble.
+    """
+    fields = list(fields) if fields is not None else _header_fields(lines, profile)
+    header = F.col("value").startswith(profile.header_prefix + profile.sep)
+    return (
+        _split(lines, profile, fields, keep)
+        .where(~header & ~F.col("_record") & (F.col("_whole") | F.col("_dated")))
+        .select(*keep, "value", F.when(F.col("_whole"), "bad_time").otherwise("field_count").alias("reason"))
+    )
+
+
 def parse_lines(
     lines: DataFrame,
     profile: C.SourceProfile,
@@ -49,15 +100,8 @@ def parse_lines(
     ``keep`` names further columns of ``lines`` to carry along, such as the station.
     """
     fields = list(fields) if fields is not None else _header_fields(lines, profile)
-    # Positional names: header texts hold brackets and may repeat.
-    ddl = ", ".join(f"f{i} STRING" for i in range(len(fields)))
     position = {name: f"f{i}" for i, name in reversed(list(enumerate(fields)))}
-
-    first_field = F.regexp_extract("value", f"^[^{re.escape(profile.sep)}]*", 0)
-    records = lines.where(F.try_to_timestamp(first_field).isNotNull()).select(
-        *keep,
-        F.from_csv(F.col("value"), ddl, {"sep": profile.sep, "mode": "PERMISSIVE"}).alias("r"),
-    )
+    records = _split(lines, profile, fields, keep).where("_record")
     columns = []
     for source, name in profile.columns.items():
         field = F.col("r")[position[source]]

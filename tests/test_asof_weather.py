@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 import pytest
 
+from tailseries import config as C
 from tailseries.operators import weather
 from tailseries.operators.asof import asof_nearest
 
@@ -102,3 +103,15 @@ def test_daily_weather(spark):
     assert days[0].Wind_U == pytest.approx(0.0, abs=1e-12) and days[0].Wind_V == pytest.approx(4.0)
     assert days[1].Wind_Speed_ms is None and days[2].Wind_Dir_deg is None
     assert days[0].Air_Temp_C is None and days[2].Wind_U is None
+
+
+def test_weather_of_stations_needs_a_key(spark):
+    from tailseries.plans.prepare import join_weather
+
+    day = datetime(2020, 1, 1)
+    ocean = spark.createDataFrame([("a", day), ("b", day)], "station_id STRING, Date TIMESTAMP")
+    weather = spark.createDataFrame([("a", day, 1.0), ("b", day, 9.0)], f"station_id STRING, Date TIMESTAMP, {C.WEATHER_VALUES[0]} DOUBLE")
+    with pytest.raises(ValueError, match="stations"):
+        join_weather(ocean, weather)
+    got = join_weather(ocean, weather, by=["station_id"]).collect()
+    assert {r.station_id: r[C.WEATHER_VALUES[0]] for r in got} == {"a": 1.0, "b": 9.0}

@@ -208,3 +208,16 @@ def test_forward_selection_stops_when_nothing_helps(many_series):
         metric=lambda f, df, target: 10.0 - sum(gain.get(c, 0.0) for c in f),
     )
     assert selected == ["x", "a", "b"] and [s for _, s in steps] == [10.0, 7.0, 6.0]
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_residual_quantiles_follow_fractional_weights(spark, partitions):
+    from tailseries.models.forecast import residual_quantiles
+
+    rows = [(1, float(i), 0.0, 0.4) for i in range(90)] + [(1, 90.0 + i, 0.0, 3.6) for i in range(10)]
+    rows += [(2, 5.0, 1.0, 2.5), (2, 7.0, 1.0, 0.0), (2, None, 1.0, 1.0), (2, 5.0, 1.0, None)]
+    table = spark.createDataFrame(rows, f"horizon INT, actual DOUBLE, predicted DOUBLE, {C.WEIGHT} DOUBLE")
+    got = residual_quantiles(table, quantiles=(0.1, 0.5, 0.9), partitions=partitions).collect()
+    assert {(r.horizon, r.q): r.offset for r in got} == {
+        (1, 0): 17.0, (1, 1): 89.0, (1, 2): 97.0, (2, 0): 4.0, (2, 1): 4.0, (2, 2): 4.0
+    }
