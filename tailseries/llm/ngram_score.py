@@ -46,7 +46,7 @@ ORDER, ALPHA = 3, 0.4
 PARTITION = 4_000_000
 HOT_SHARE = 1e-6
 #: Bytes of text in a block of documents.
-DOCS = 16 << 20
+DOCS = 3 << 20
 _WORDS = Rolling(0xE7037ED1A0B428DB)
 
 
