@@ -14,6 +14,7 @@ from tailseries.llm.line_dedup import line_dedup
 from tailseries.llm.mixing import mix_to_targets
 from tailseries.llm.near_dedup import near_dedup
 from tailseries.llm.ngram_score import score_corpus
+from tailseries.llm.spelling import damaged_runs, spelling_variants, vocabulary
 from tailseries.llm.substring_dedup import substring_dedup
 
 
@@ -68,6 +69,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read(spark, sf_dir, "documents")).drop("_row", "kept_text")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(vocabulary(damaged_runs(read(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_format": op2_chat_format,
@@ -79,6 +84,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE = {
@@ -195,5 +201,48 @@ WITH each_line AS (
   GROUP BY l.doc_id
 )
 SELECT doc_id, n_lines, n_removed, sha256(text) AS kept_sha256 FROM kept
+""",
+    "op13_spelling": r"""
+WITH RECURSIVE bits AS (
+  SELECT list_transform(range(256), lambda v: list_reduce(list_prepend(v, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{7,}')) AS r FROM documents
+), lowered AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM runs
+), counted AS (
+  SELECT doc_id, r, count(*) AS c, encode(doc_id::VARCHAR || ':' || r) AS bytes FROM lowered GROUP BY ALL
+), hashed AS (
+  SELECT r, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(bytes)),
+           lambda i: ('0x' || substr(hex(bytes), 2 * i + 1, 2))::BIGINT)),
+           lambda x, b: xor(x // 256, t[xor(x % 256, b) + 1])), 4294967295) AS h
+  FROM counted CROSS JOIN bits
+), words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, (h % length(r))::BIGINT) || substr(r, (h % length(r))::BIGINT + 2) ELSE r END AS word, c
+  FROM hashed
+), vocab AS (
+  SELECT word, sum(c)::BIGINT AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2
+), places AS (
+  SELECT word, unnest(range(1, length(word) + 1)) AS i FROM vocab
+), cut AS (
+  SELECT word, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM places
+), near AS (
+  SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT c.word, v.word FROM cut c JOIN vocab v ON v.word = head || tail
+  UNION SELECT v.word, c.word FROM cut c JOIN vocab v ON v.word = head || tail
+), ranked AS (
+  SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near,
+         row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS place
+  FROM near JOIN vocab ON word = b
+), formed AS (
+  SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN r.n >= 10 * v.n THEN b END AS form,
+         CASE WHEN r.n >= 10 * v.n THEN r.n END AS form_n
+  FROM vocab v LEFT JOIN ranked r ON a = word AND place = 1
+), followed AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT f.word, form FROM followed f JOIN formed g ON g.word = f.root WHERE form IS NOT NULL
+)
+SELECT g.word, g.form, f.root, g.n, g.n_near, g.form_n
+FROM formed g JOIN followed f ON f.word = g.word JOIN formed last ON last.word = f.root AND last.form IS NULL
 """,
 }
