@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tailseries.llm.chat_format import format_windows, read_back
+from tailseries.llm.collocations import collocations
 from tailseries.llm.common import read
 from tailseries.llm.decontaminate import contaminated
 from tailseries.llm.fingerprint import fingerprint_edits
@@ -14,6 +15,7 @@ from tailseries.llm.line_dedup import line_dedup
 from tailseries.llm.mixing import mix_to_targets
 from tailseries.llm.near_dedup import near_dedup
 from tailseries.llm.ngram_score import score_corpus
+from tailseries.llm.quality import fit as fit_quality, score_quality
 from tailseries.llm.spelling import damaged_runs, spelling_variants, vocabulary
 from tailseries.llm.substring_dedup import substring_dedup
 
@@ -69,6 +71,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read(spark, sf_dir, "documents")).drop("_row", "kept_text")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, read(spark, sf_dir, "labels").where(fold() != 2))
+    held_out = F.coalesce(fold() == 2, F.lit(False)).alias("held_out")
+    return score_quality(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(vocabulary(damaged_runs(read(spark, sf_dir, "documents"))))
 
@@ -84,6 +97,8 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_quality": op11_quality,
+    "op12_collocations": op12_collocations,
     "op13_spelling": op13_spelling,
 }
 
@@ -201,6 +216,42 @@ WITH each_line AS (
   GROUP BY l.doc_id
 )
 SELECT doc_id, n_lines, n_removed, sha256(text) AS kept_sha256 FROM kept
+""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces
+), starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words
+), spans AS (
+  SELECT lang, w, i, unnest(range(1, least(3, len(w) - i + 1) + 1)) AS m FROM starts
+), grams AS (
+  SELECT lang, list_slice(w, i, i + m - 1) AS g, count(*) AS f FROM spans GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE len(g) = 1 GROUP BY lang
+), cuts AS (
+  SELECT lang, g, f AS a, unnest(range(1, len(g))) AS k FROM grams WHERE len(g) > 1 AND f >= 10
+), scored AS (
+  SELECT c.lang, c.g, a, k, x.f AS l, y.f AS r,
+         (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN grams x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, k)
+  JOIN grams y ON y.lang = c.lang AND y.g = list_slice(c.g, k + 1, len(c.g))
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS nth FROM scored
+), longer AS (
+  SELECT lang, unnest([list_slice(g, 1, 2), list_slice(g, 2, 3)]) AS g, f FROM grams WHERE len(g) = 3 AND f >= 10
+), kept AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score::BIGINT AS score FROM lowest s
+  WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM longer x WHERE x.lang = s.lang AND x.g = s.g AND 100 * x.f >= 50 * s.a)
+)
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+         phrase, a, l, r, n, score
+  FROM kept JOIN totals USING (lang)
+) WHERE rank <= 2000
 """,
     "op13_spelling": r"""
 WITH RECURSIVE bits AS (
