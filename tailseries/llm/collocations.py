@@ -8,11 +8,17 @@ corpus shrinks to a dictionary of distinct chunks with frequencies.
 N-grams of up to OVERLAP + 1 words are counted inside the distinct chunks, each with the chunk's frequency. Those that
 start in the overlap belong to the next chunk, so each occurrence counts once. Words are numbered inside a slice, so
 equal n-grams of a slice are added up without comparing texts or hashes; Spark adds up the slices.
+
+Lengths are counted one after the other. An n-gram can only be frequent if both its parts of n - 1 words are, so what
+a bit filter over the frequent ones excludes is not counted. The filter never excludes a frequent part. It has at most
+FILTER bits (32 MB are broadcast); beyond some 50 million frequent n-grams it lets more and more pass, and the shuffle
+grows towards that of all n-grams, which is in proportion to the dictionary.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +29,9 @@ from tailseries.operators.skew import spread_join
 
 LONGEST, OVERLAP, PERIOD = 3, 2, 8
 #: Bytes of chunks counted together.
-SLICE = 1 << 22
+SLICE = 1 << 21
+#: Bits of the filter over frequent n-grams at most.
+FILTER = 1 << 28
 #: Groups into which a language's phrases are dealt before its best ones are found.
 DEALT = 256
 UNKNOWN = "und"
@@ -40,7 +48,9 @@ def spans_as_text(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.
     sizes = ends - starts
     offsets = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(sizes, out=offsets[1:])
-    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)
+    kind = np.int32 if len(data) + offsets[-1] < 1 << 31 else np.int64
+    at = np.arange(offsets[-1], dtype=kind)
+    at += np.repeat((starts - offsets[:-1]).astype(kind), sizes)
     return pa.Array.from_buffers(
         pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])]
     ).cast(pa.string())
@@ -113,75 +123,146 @@ def chunk_table(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lan
     return parsed.groupBy("lang", "chunk", "last").agg(F.count("*").alias("times"))
 
 
-def _count_slice(langs: pa.Array, chunks: pa.Array, last: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
-    data, offsets = text_buffers(chunks)
-    base = offsets[0]
-    data, offsets = data[base : offsets[-1]], offsets - base
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, and starts, ends and rows of the words of texts without other blanks than one space between words."""
+    data, offsets = text_buffers(texts)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
     space = data == 32
     ends = np.union1d(np.flatnonzero(space), offsets[1:])
-    starts = np.empty_like(ends)
-    starts[0], starts[1:] = 0, ends[:-1]
-    starts[1:] += space[np.minimum(starts[1:], len(data) - 1)]
-    chunk = np.searchsorted(offsets, starts, "right") - 1
-    n_words = np.bincount(chunk, minlength=len(last))
-    left = np.cumsum(n_words)[chunk] - np.arange(len(chunk))
-    owned = np.flatnonzero(last[chunk] | (left > OVERLAP))
+    starts = np.append(0, ends[:-1])
+    starts[1:] += space[starts[1:]]
+    return data, starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
-    number = spans_as_text(data, starts, ends).dictionary_encode().indices.to_numpy().astype(np.int64)
-    coded = langs.dictionary_encode()
-    lang = coded.indices.to_numpy().astype(np.int64)[chunk]
-    # Equal n-grams of a language get equal numbers: from those of their first n - 1 words and of the last word.
-    same = lang
-    for n in range(LONGEST + 1):
-        at = owned[left[owned] >= n]
-        key = same[at] if not n else (same[at] << 32) | number[at + n - 1]
-        order = np.argsort(key, kind="stable")
-        new = np.diff(key[order], prepend=-1) != 0
-        same = np.zeros(len(number), np.int64)
-        same[at[order]] = np.cumsum(new)
-        if not len(at):
-            return
-        new = np.flatnonzero(new)
-        seen = at[order[new]]
-        grams = spans_as_text(data, starts[seen], ends[seen + n - 1]) if n else pa.array([""] * len(seen))
-        yield pa.RecordBatch.from_arrays(
-            [
-                coded.dictionary.take(pa.array(lang[seen])),
-                grams,
-                pa.array(np.add.reduceat(times[chunk[at]][order], new)),
-            ],
-            ["lang", "gram", "f"],
-        )
 
+class GramFilter:
+    """A set of n-grams as bits: whatever was put in is found, and little else."""
 
-def gram_counts(chunks: DataFrame, *, least: int = 1) -> DataFrame:
-    """Counts of n-grams per language: lang, gram, f >= ``least``; the gram '' holds the language's number of words."""
-    ship(chunks.sparkSession)
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, U64(8 * len(bits) - 1)
+
+    @staticmethod
+    def hashes(lang: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+        """Hash of the n words from each word on (one less each time), with the language's hash."""
+        h = mix(lang ^ words)
+        for k in range(1, n):
+            h = mix(h[:-1] + U64(0x9E3779B97F4A7C15) + words[k:])
+        return h
+
+    def places(self, h: np.ndarray) -> list[np.ndarray]:
+        return [h & self.mask, (h >> U64(32)) & self.mask]
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        found = np.ones(len(h), bool)
+        for at in self.places(h):
+            found &= (self.bits[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
+        return found
+
+
+def gram_filter(grams: DataFrame, n: int, size: int) -> GramFilter:
+    """The filter over ``size`` n-grams (lang, gram) of n words, put together from the bits that each task sets."""
+    bits = min(FILTER, max(1 << 10, 1 << (16 * size - 1).bit_length()))
+    empty = GramFilter(np.zeros(bits // 8, np.uint8))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            data, starts, ends, row = _split(b.column(1))
+            h = GramFilter.hashes(_text_hashes(b.column(0))[row], hash_spans(data, starts, ends), n)[::n]
+            at = np.sort(np.concatenate([p & empty.mask for p in empty.places(h)]))
+            word = at >> U64(6)
+            new = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            set_ = np.bitwise_or.reduceat(U64(1) << (at & U64(63)), new)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(word[new].view(np.int64)), pa.array(set_.view(np.int64))], ["word", "bits"]
+            )
 
-        def counted():
-            t = pa.Table.from_batches(held).combine_chunks()
-            _, offsets = text_buffers(t["chunk"])
-            for lo, hi in row_groups(offsets, SLICE):
-                part = t.slice(lo, hi - lo).combine_chunks()
-                columns = [c.chunk(0) for c in part.columns]
-                last = columns[2].to_numpy(zero_copy_only=False)
-                yield from _count_slice(columns[0], columns[1], last, columns[3].to_numpy())
+    words = grams.select("lang", "gram").mapInArrow(each, "word long, bits long")
+    got = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return GramFilter(out.view(np.uint8))
 
+
+def _text_hashes(texts: pa.Array) -> np.ndarray:
+    data, offsets = text_buffers(texts)
+    return hash_spans(data, offsets[:-1], offsets[1:])
+
+
+def _count_slice(
+    langs: pa.Array, chunks: pa.Array, last: np.ndarray, times: np.ndarray, n: int, allowed: GramFilter | None
+) -> Iterator[pa.RecordBatch]:
+    """N-grams of n words that start in their chunk, with the sum of the chunks' times; for n = 0 their starts."""
+    data, starts, ends, chunk = _split(chunks)
+    left = np.cumsum(np.bincount(chunk, minlength=len(last)))[chunk] - np.arange(len(chunk))
+    start = (last[chunk] | (left > OVERLAP)) & (left >= n)
+    coded = langs.dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)
+    lang = code[chunk]
+    if allowed is not None and n > 1:
+        h = GramFilter.hashes(_text_hashes(coded.dictionary)[lang], hash_spans(data, starts, ends), n - 1)
+        passed = allowed.has(h)
+        start[: len(h) - 1] &= passed[:-1] & passed[1:]
+    number = spans_as_text(data, starts, ends).dictionary_encode().indices.to_numpy().astype(np.int64)
+    # Equal n-grams of a language get equal numbers: from those of their first words and of the last word.
+    at = np.flatnonzero(start)
+    if not len(at):
+        return
+    same = lang[at]
+    for k in range(n + 1):
+        key = same if not k else (same << 32) | number[at + k - 1]
+        order = np.argsort(key, kind="stable")
+        new = np.diff(key[order], prepend=-1) != 0
+        same = np.empty_like(key)
+        same[order] = np.cumsum(new)
+    new = np.flatnonzero(new)
+    seen = at[order[new]]
+    grams = spans_as_text(data, starts[seen], ends[seen + n - 1]) if n else pa.array([""] * len(seen))
+    f = np.add.reduceat(times[chunk[at]][order], new)
+    yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(lang[seen])), grams, pa.array(f)], ["lang", "gram", "f"])
+
+
+def _counted(chunks: DataFrame, lengths: tuple[int, ...], allowed: GramFilter | None) -> DataFrame:
+    shared = chunks.sparkSession.sparkContext.broadcast(allowed) if allowed is not None else None
+
+    def slices(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        _, offsets = text_buffers(table["chunk"])
+        for lo, hi in row_groups(offsets, SLICE):
+            lang, chunk, last, times = (c.chunk(0) for c in table.slice(lo, hi - lo).combine_chunks().columns)
+            for n in lengths:
+                known = shared.value if shared is not None else None
+                yield from _count_slice(lang, chunk, last.to_numpy(zero_copy_only=False), times.to_numpy(), n, known)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            held.append(b)
-            size += b.column(1).nbytes
+            if b.num_rows:
+                held.append(b)
+                size += b.column(1).nbytes
             if size >= SLICE:
-                yield from counted()
+                yield from slices(pa.Table.from_batches(held))
                 held, size = [], 0
-        if held and sum(b.num_rows for b in held):
-            yield from counted()
+        if held:
+            yield from slices(pa.Table.from_batches(held))
 
     counted = chunks.select("lang", "chunk", "last", "times").mapInArrow(each, "lang string, gram string, f long")
-    totals = counted.groupBy("lang", "gram").agg(F.sum("f").alias("f"))
-    return totals.where((F.col("f") >= least) | (F.col("gram") == ""))
+    # A slice has each n-gram once; adding up before the shuffle again would find little.
+    return counted.repartition("lang", "gram").groupBy("lang", "gram").agg(F.sum("f").alias("f"))
+
+
+def gram_counts(chunks: DataFrame, *, least: int = 1) -> DataFrame:
+    """Counts of n-grams per language: lang, gram, f >= ``least``; the gram '' holds the language's number of words."""
+    ship(chunks.sparkSession)
+    frequent = (F.col("f") >= least) | (F.col("gram") == "")
+    allowed, levels = None, []
+    for n in range(1, LONGEST + 1):
+        counted = scratch(_counted(chunks, (0, 1) if n == 1 else (n,), allowed).where(frequent), f"collocations-{n}")
+        levels.append(counted)
+        if least > 1 and n < LONGEST:
+            words = counted.where(F.col("gram") != "")
+            allowed = gram_filter(words, n, words.count())
+    return reduce(DataFrame.union, levels)
 
 
 def _joined(words: Column, start: int, n: int) -> Column:
@@ -204,8 +285,8 @@ def collocations(
     one that has ``inside_percent`` of its count is left out. Order: score and a descending, phrase by bytes.
     ``best`` is the length of the report. Nulls and repeats: see ``chunk_table``; an empty table gives none.
     """
-    chunks = chunk_table(docs, text_col=text_col, lang_col=lang_col)
-    counts = scratch(gram_counts(chunks, least=least), "collocations-counts")
+    chunks = scratch(chunk_table(docs, text_col=text_col, lang_col=lang_col), "collocations-chunks")
+    counts = gram_counts(chunks, least=least)
     grams = counts.where(F.col("gram") != "")
     phrases = grams.withColumn("w", F.split("gram", " ")).where(F.size("w") > 1)
     cuts = phrases.select(

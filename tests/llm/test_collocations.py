@@ -110,6 +110,15 @@ def test_equals_brute_force(spark, seed, least, percent, best):
     assert set(rows_of(got)) == brute(rows, least, percent, best)
 
 
+@pytest.mark.parametrize("bits", [1 << 10, 1 << 28])
+def test_a_full_filter_only_lets_more_pass(spark, monkeypatch, bits):
+    rows = corpus(7)
+    monkeypatch.setattr(C, "FILTER", bits)
+    got = gram_counts(chunk_table(table(spark, rows)), least=3)
+    found = {(r[0], tuple(r[1].split(" "))): r[2] for r in rows_of(got) if r[1]}
+    assert found == {g: f for g, f in brute_counts(rows).items() if f >= 3}
+
+
 def test_empty_table(spark):
     assert rows_of(collocations(table(spark, []))) == []
     assert rows_of(collocations(table(spark, [("en", None), (None, "")]))) == []
