@@ -18,6 +18,7 @@ grows towards that of all n-grams, which is in proportion to the dictionary.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -29,7 +30,7 @@ from tailseries.operators.skew import spread_join
 
 LONGEST, OVERLAP, PERIOD = 3, 2, 8
 #: Bytes of chunks counted together.
-SLICE = 1 << 21
+SLICE = 1 << 23
 #: Bits of the filter over frequent n-grams at most.
 FILTER = 1 << 28
 #: Groups into which a language's phrases are dealt before its best ones are found.
@@ -123,15 +124,38 @@ def chunk_table(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lan
     return parsed.groupBy("lang", "chunk", "last").agg(F.count("*").alias("times"))
 
 
-def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, and starts, ends and rows of the words of texts without other blanks than one space between words."""
-    data, offsets = text_buffers(texts)
-    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-    space = data == 32
-    ends = np.union1d(np.flatnonzero(space), offsets[1:])
-    starts = np.append(0, ends[:-1])
-    starts[1:] += space[starts[1:]]
-    return data, starts, ends, np.searchsorted(offsets, starts, "right") - 1
+@dataclass
+class Words:
+    """Words of texts that have one space between words: bytes, starts and ends in them, rows, numbers, distinct words."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    row: np.ndarray
+    number: np.ndarray
+    distinct: pa.Array
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> "Words":
+        data, offsets = text_buffers(texts)
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        space = data == 32
+        end = np.append(space, False)
+        end[offsets[1:]] = True
+        ends = np.flatnonzero(end)
+        starts = np.append(0, ends[:-1])
+        starts[1:] += space[starts[1:]]
+        row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(ends, offsets, "right")))
+        bounds = np.zeros(len(ends) + 1, np.int64)
+        np.cumsum(ends - starts, out=bounds[1:])
+        bare = pa.Array.from_buffers(
+            pa.large_string(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(data[~space])]
+        )
+        coded = bare.dictionary_encode()
+        return cls(data, starts, ends, row, coded.indices.to_numpy().astype(np.int64), coded.dictionary)
+
+    def hashes(self) -> np.ndarray:
+        return _text_hashes(self.distinct)[self.number]
 
 
 class GramFilter:
@@ -167,8 +191,8 @@ def gram_filter(grams: DataFrame, n: int, size: int) -> GramFilter:
         for b in batches:
             if not b.num_rows:
                 continue
-            data, starts, ends, row = _split(b.column(1))
-            h = GramFilter.hashes(_text_hashes(b.column(0))[row], hash_spans(data, starts, ends), n)[::n]
+            words = Words.of(b.column(1))
+            h = GramFilter.hashes(_text_hashes(b.column(0))[words.row], words.hashes(), n)[::n]
             at = np.sort(np.concatenate([p & empty.mask for p in empty.places(h)]))
             word = at >> U64(6)
             new = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
@@ -189,40 +213,49 @@ def _text_hashes(texts: pa.Array) -> np.ndarray:
     return hash_spans(data, offsets[:-1], offsets[1:])
 
 
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that puts equal keys together, where each begins in it, and a number for each key."""
+    order = np.argsort(key)
+    new = np.diff(key[order], prepend=-1) != 0
+    number = np.empty_like(key)
+    number[order] = np.cumsum(new)
+    return order, np.flatnonzero(new), number
+
+
 def _count_slice(
     langs: pa.Array, chunks: pa.Array, last: np.ndarray, times: np.ndarray, n: int, allowed: GramFilter | None
 ) -> Iterator[pa.RecordBatch]:
-    """N-grams of n words that start in their chunk, with the sum of the chunks' times; for n = 0 their starts."""
-    data, starts, ends, chunk = _split(chunks)
-    left = np.cumsum(np.bincount(chunk, minlength=len(last)))[chunk] - np.arange(len(chunk))
-    start = (last[chunk] | (left > OVERLAP)) & (left >= n)
+    """N-grams of n words that start in their chunk, with the sum of the chunks' times; n = 1: '' with all words too."""
+    words = Words.of(chunks)
+    left = np.cumsum(np.bincount(words.row, minlength=len(last)))[words.row] - np.arange(len(words.row))
+    start = (last[words.row] | (left > OVERLAP)) & (left >= n)
     coded = langs.dictionary_encode()
-    code = coded.indices.to_numpy().astype(np.int64)
-    lang = code[chunk]
+    lang = coded.indices.to_numpy().astype(np.int64)[words.row]
     if allowed is not None and n > 1:
-        h = GramFilter.hashes(_text_hashes(coded.dictionary)[lang], hash_spans(data, starts, ends), n - 1)
-        passed = allowed.has(h)
-        start[: len(h) - 1] &= passed[:-1] & passed[1:]
-    number = spans_as_text(data, starts, ends).dictionary_encode().indices.to_numpy().astype(np.int64)
-    # Equal n-grams of a language get equal numbers: from those of their first words and of the last word.
+        passed = allowed.has(GramFilter.hashes(_text_hashes(coded.dictionary)[lang], words.hashes(), n - 1))
+        start[: len(passed) - 1] &= passed[:-1] & passed[1:]
     at = np.flatnonzero(start)
     if not len(at):
         return
-    same = lang[at]
-    for k in range(n + 1):
-        key = same if not k else (same << 32) | number[at + k - 1]
-        order = np.argsort(key, kind="stable")
-        new = np.diff(key[order], prepend=-1) != 0
-        same = np.empty_like(key)
-        same[order] = np.cumsum(new)
-    new = np.flatnonzero(new)
+    # Equal n-grams of a language get equal numbers: from those of their first words and of the last word.
+    key = lang[at] * len(words.distinct) + words.number[at]
+    for k in range(1, n):
+        if k > 1 or len(coded.dictionary) * len(words.distinct) > 1 << 31:
+            key = _numbered(key)[2]
+        key = (key << 32) | words.number[at + k]
+    order, new, _ = _numbered(key)
     seen = at[order[new]]
-    grams = spans_as_text(data, starts[seen], ends[seen + n - 1]) if n else pa.array([""] * len(seen))
-    f = np.add.reduceat(times[chunk[at]][order], new)
-    yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(lang[seen])), grams, pa.array(f)], ["lang", "gram", "f"])
+    weight = times[words.row[at]]
+    parts = [(lang[seen], spans_as_text(words.data, words.starts[seen], words.ends[seen + n - 1]), np.add.reduceat(weight[order], new))]
+    if n == 1:
+        total = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(total, lang[at], weight)
+        parts.append((np.arange(len(total)), pa.array([""] * len(total)), total))
+    for code, gram, f in parts:
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code)), gram, pa.array(f)], ["lang", "gram", "f"])
 
 
-def _counted(chunks: DataFrame, lengths: tuple[int, ...], allowed: GramFilter | None) -> DataFrame:
+def _counted(chunks: DataFrame, n: int, allowed: GramFilter | None) -> DataFrame:
     shared = chunks.sparkSession.sparkContext.broadcast(allowed) if allowed is not None else None
 
     def slices(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -230,9 +263,8 @@ def _counted(chunks: DataFrame, lengths: tuple[int, ...], allowed: GramFilter |
         _, offsets = text_buffers(table["chunk"])
         for lo, hi in row_groups(offsets, SLICE):
             lang, chunk, last, times = (c.chunk(0) for c in table.slice(lo, hi - lo).combine_chunks().columns)
-            for n in lengths:
-                known = shared.value if shared is not None else None
-                yield from _count_slice(lang, chunk, last.to_numpy(zero_copy_only=False), times.to_numpy(), n, known)
+            known = shared.value if shared is not None else None
+            yield from _count_slice(lang, chunk, last.to_numpy(zero_copy_only=False), times.to_numpy(), n, known)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -247,8 +279,9 @@ def _counted(chunks: DataFrame, lengths: tuple[int, ...], allowed: GramFilter |
             yield from slices(pa.Table.from_batches(held))
 
     counted = chunks.select("lang", "chunk", "last", "times").mapInArrow(each, "lang string, gram string, f long")
-    # A slice has each n-gram once; adding up before the shuffle again would find little.
-    return counted.repartition("lang", "gram").groupBy("lang", "gram").agg(F.sum("f").alias("f"))
+    # Slices share words, but few longer n-grams: adding those up once more before the shuffle would find little.
+    dealt = counted if n == 1 else counted.repartition("lang", "gram")
+    return dealt.groupBy("lang", "gram").agg(F.sum("f").alias("f"))
 
 
 def gram_counts(chunks: DataFrame, *, least: int = 1) -> DataFrame:
@@ -257,7 +290,7 @@ def gram_counts(chunks: DataFrame, *, least: int = 1) -> DataFrame:
     frequent = (F.col("f") >= least) | (F.col("gram") == "")
     allowed, levels = None, []
     for n in range(1, LONGEST + 1):
-        counted = scratch(_counted(chunks, (0, 1) if n == 1 else (n,), allowed).where(frequent), f"collocations-{n}")
+        counted = scratch(_counted(chunks, n, allowed).where(frequent), f"collocations-{n}")
         levels.append(counted)
         if least > 1 and n < LONGEST:
             words = counted.where(F.col("gram") != "")
