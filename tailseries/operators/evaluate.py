@@ -8,6 +8,7 @@ are sums per group, so the rows are combined before they are shuffled.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -97,30 +98,72 @@ def persistence(
     )
 
 
+def _merged(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Weighted moments of groups from those of their parts with one weight each.
+
+    Parts hold ``_w`` (sum of weights), means ``_mx``, ``_my`` and mean squared deviations ``_vx``, ``_vy``, ``_c``. What lies
+    between the parts is added around the group's own mean, so no square of a large mean is ever summed.
+    """
+    w = F.col("_w")
+    means = parts.groupBy(*by).agg(
+        F.sum("_w").alias("_all"),
+        F.try_divide(F.sum(w * F.col("_mx")), F.sum("_w")).alias("_x"),
+        F.try_divide(F.sum(w * F.col("_my")), F.sum("_w")).alias("_y"),
+    )
+    if by:
+        names = [F.col(f"`{c}`").alias(f"_by{i}") for i, c in enumerate(by)]
+        same = reduce(lambda p, q: p & q, [F.col(f"`{c}`").eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)])
+        parts = parts.join(means.select(*names, "_all", "_x", "_y"), same)
+    else:
+        total = means.select(F.struct("_all", "_x", "_y").alias("t")).scalar()
+        parts = parts.withColumn("_t", total).withColumns({c: F.col("_t")[c] for c in ("_all", "_x", "_y")})
+    dx, dy = F.col("_mx") - F.col("_x"), F.col("_my") - F.col("_y")
+    return parts.groupBy(*by).agg(
+        F.sum("_n").alias("n"),
+        F.first("_all").alias("_all"),
+        F.sum(w * (F.col("_vx") + dx * dx)).alias("_xx"),
+        F.sum(w * (F.col("_vy") + dy * dy)).alias("_yy"),
+        F.sum(w * (F.col("_c") + dx * dy)).alias("_xy"),
+        F.sum("_ee").alias("_ee"),
+        F.sum("_tail").alias("_tail"),
+        F.sum("_low").alias("_low"),
+    )
+
+
 def weighted_scores(predictions: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
-    """Weighted correlation and RMSE, and the plain RMSE below the hypoxic threshold."""
-    w, x, y = F.col(C.WEIGHT), F.col("predicted"), F.col("actual")
-    sums = predictions.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(w).alias("_w"),
-        F.sum(w * x).alias("_x"),
-        F.sum(w * y).alias("_y"),
-        F.sum(w * x * x).alias("_xx"),
-        F.sum(w * y * y).alias("_yy"),
-        F.sum(w * x * y).alias("_xy"),
-        F.sum(w * (y - x) * (y - x)).alias("_ee"),
-        F.avg(F.when(below(y, C.TIERS.hypoxic), (y - x) * (y - x))).alias("_tail"),
+    """Weighted correlation and RMSE, and the plain RMSE below the hypoxic threshold.
+
+    Rows of equal weight are combined first into counts, means and centred co-moments, which Spark merges pairwise
+    before and after the shuffle; groups are put together from these. Digits do not depend on how far values lie
+    from zero. Weights are few (one per tier); as many as rows give the same result at the price of a row each.
+    A row without forecast, observation or weight counts in ``n`` only. No spread, no correlation: NULL.
+    """
+    by = list(by)
+    x, y = F.col("predicted").cast("double"), F.col("actual").cast("double")
+    known = x.isNotNull() & y.isNotNull()
+    error = (y - x) * (y - x)
+    low = below(y, C.TIERS.hypoxic)
+    parts = predictions.groupBy(*by, F.col(C.WEIGHT).cast("double").alias("_one")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(known).alias("_k"),
+        F.avg(F.when(known, x)).alias("_mx"),
+        F.avg(F.when(known, y)).alias("_my"),
+        F.var_pop(F.when(known, x)).alias("_vx"),
+        F.var_pop(F.when(known, y)).alias("_vy"),
+        F.covar_pop(x, y).alias("_c"),
+        F.avg(error).alias("_e"),
+        F.sum(F.when(low, error)).alias("_tail"),
+        F.count(F.when(low, error)).alias("_low"),
     )
-    w_, x_, y_ = F.col("_w"), F.col("_x"), F.col("_y")
-    spread = (w_ * F.col("_xx") - x_ * x_) * (w_ * F.col("_yy") - y_ * y_)
+    parts = parts.withColumn("_w", F.col("_one") * F.col("_k")).withColumn("_ee", F.col("_w") * F.col("_e"))
+    sums = _merged(parts, by)
+    spread = F.sqrt("_xx") * F.sqrt("_yy")
     return sums.select(
         *by,
         "n",
-        F.when(spread > 0, (w_ * F.col("_xy") - x_ * y_) / F.sqrt(spread)).alias(
-            "weighted_corr"
-        ),
-        F.sqrt(F.try_divide("_ee", "_w")).alias("weighted_rmse"),
-        F.sqrt("_tail").alias("tail_rmse"),
+        F.when(spread > 0, F.col("_xy") / spread).alias("weighted_corr"),
+        F.sqrt(F.try_divide("_ee", "_all")).alias("weighted_rmse"),
+        F.sqrt(F.try_divide("_tail", "_low")).alias("tail_rmse"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tailseries import config as C
 from tailseries.functions.measures import number
+from tailseries.operators.skew import spread_join
 
 
 def coerce_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -16,11 +17,6 @@ def coerce_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: number(F.col(c)) for c in columns})
 
 
-def rename(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """Project onto the mapped columns under their canonical names."""
-    return df.select([F.col(f"`{source}`").alias(name) for source, name in columns.items()])
-
-
 def convert_units(df: DataFrame, factors: Mapping[str, float]) -> DataFrame:
     """Multiply columns by a source's factor, after coercion so that text cannot fail it."""
     return df.withColumns({c: number(F.col(c)) * F.lit(f) for c, f in factors.items()})
@@ -44,17 +40,14 @@ def fill_missing(
 
     Missing keys match missing keys, and a key that repeats in the supplement repeats the
     left row. ``one_per_key`` averages the supplement per key first, which keeps the row
-    count and is the choice when one key may carry very many copies.
+    count and is the choice when one key may carry very many copies. Rows of heavy keys, the missing
+    one included, are spread over tasks (``spread_join``).
     """
     right = supplement.select(*keys, F.col(supplement_column).alias("_fill"))
     if one_per_key:
         right = right.groupBy(*keys).agg(F.avg("_fill").alias("_fill"))
-    right = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_fill")
-    matched = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    )
     filled = F.coalesce(F.col(column), F.col("_fill")).alias(column)
-    return left.join(right, matched, "left").select(
+    return spread_join(left, right, keys, null_safe=True).select(
         [filled if c == column else F.col(c) for c in left.columns]
     )
 

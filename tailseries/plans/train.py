@@ -68,7 +68,7 @@ def train(
         model = fit_forecaster(
             frame.where(F.col("split") == "train"), kind=kind, parameters=settings
         )
-        model.save(f"{path}/model")
+        model.save(labelled.sparkSession, f"{path}/model")
         forecast = model.predict(frame.where(F.col("split") == "validation"))
         forecast.write.mode("overwrite").parquet(f"{path}/validation")
     finally:

@@ -12,10 +12,12 @@ from tailseries.sources.records import (
 from tailseries.sources.tables import (
     read_weather_daily,
     read_weather_long,
+    remove_older_weather,
     scratch_path,
     staged,
     write_series_table,
     write_weather_daily,
+    write_weather_long,
 )
 
 __all__ = [
@@ -27,6 +29,7 @@ __all__ = [
     "read_manifest",
     "read_weather_daily",
     "read_weather_long",
+    "remove_older_weather",
     "run_manifest",
     "scratch_path",
     "staged",
@@ -34,4 +37,5 @@ __all__ = [
     "write_manifest",
     "write_series_table",
     "write_weather_daily",
+    "write_weather_long",
 ]

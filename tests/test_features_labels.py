@@ -11,11 +11,12 @@ from tests.conftest import column, weeks
 
 @pytest.fixture
 def two_depths(spark):
+    """Six weeks of a surface and a bottom series whose values are easy to work out by hand."""
+    oxygen = [140.0, 92.0, 131.0, 131.0, 57.0, 20.0]
     rows = []
-    for i, d in enumerate(weeks(5)):
-        rows.append(("s", 1.0, d, 10.0 + i, 300.0 + 10 * i, 1.0 + i, 5.0 + i, 180.0 + 10 * i))
-        o2 = [250.0, 260.0, 255.0, 240.0, 230.0][i]
-        rows.append(("s", 25.0, d, 8.0 + i / 2, o2, 1.5 + i, 5.0 + i, 180.0 + 10 * i))
+    for i, d in enumerate(weeks(6)):
+        rows.append(("p", 1.0, d, 30.0 - 2 * i, 7.0 * (40 + i), 0.5 * i, 2.0 + 3 * i, 45.0))
+        rows.append(("p", 25.0, d, float(i * i), oxygen[i], float(2**i), 2.0 + 3 * i, 45.0))
     return spark.createDataFrame(
         rows,
         "station_id STRING, Depth_m DOUBLE, Date DATE, Temp_C DOUBLE, O2_umol_L DOUBLE, "
@@ -28,13 +29,14 @@ def test_surface_values_both_ways(two_depths):
     joined = features.add_surface_values(target, two_depths)
     spread = features.spread_surface_values(two_depths).where("Depth_m = 25")
     for df in (joined, spread):
-        assert column(df, "Surface_Temp_C") == [10.0, 11.0, 12.0, 13.0, 14.0]
-        assert column(df, "Surface_O2_umol_L")[:3] == [300.0, 310.0, 320.0]
+        assert column(df, "Surface_Temp_C") == [30.0, 28.0, 26.0, 24.0, 22.0, 20.0]
+        assert column(df, "Surface_O2_umol_L") == [280.0, 287.0, 294.0, 301.0, 308.0, 315.0]
 
 
 def test_surface_missing_gives_null(two_depths):
-    only = two_depths.where("Depth_m = 25 OR Date = DATE'2020-01-06'")
-    expected = [10.0, None, None, None, None]
+    third = weeks(3)[2]
+    only = two_depths.where((F.col("Depth_m") == 25) | (F.col("Date") == F.lit(third)))
+    expected = [None, None, 26.0, None, None, None]
     assert column(features.add_surface_values(labels.select_depth(only), only), "Surface_Temp_C") == expected
     spread = features.spread_surface_values(only).where("Depth_m = 25")
     assert column(spread, "Surface_Temp_C") == expected
@@ -44,34 +46,34 @@ def test_composition_holds_all_features(two_depths):
     a = features.engineer_features(labels.select_depth(two_depths), two_depths)
     b = features.engineer_features_at(two_depths)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect()))
-    assert column(a, "Vertical_Temp_Grad")[:2] == [2.0, 2.5]
-    assert column(a, "Vertical_O2_Grad")[:2] == [50.0, 50.0]
-    assert column(a, "O2_Derivative_1W")[:4] == [None, 10.0, -5.0, -15.0]
-    assert column(a, "Wind_Mixing_Energy")[:2] == [25.0, 36.0]
-    assert column(a, "Wind_Dir_deg")[0] == 180.0
-    assert column(a, "Chl_a_lag_1W") == [None, 1.5, 2.5, 3.5, 4.5]
-    assert column(a, "Chl_a_lag_4W") == [None] * 4 + [1.5]
+    assert column(a, "Vertical_Temp_Grad") == [30.0, 27.0, 22.0, 15.0, 6.0, -5.0]
+    assert column(a, "Vertical_O2_Grad") == [140.0, 195.0, 163.0, 170.0, 251.0, 295.0]
+    assert column(a, "O2_Derivative_1W") == [None, -48.0, 39.0, 0.0, -74.0, -37.0]
+    assert column(a, "Wind_Mixing_Energy") == [4.0, 25.0, 64.0, 121.0, 196.0, 289.0]
+    assert column(a, "Wind_Dir_deg") == [45.0] * 6
+    for k in (1, 2, 3, 4):
+        assert column(a, f"Chl_a_lag_{k}W") == [None] * k + [float(2**i) for i in range(6 - k)]
     plain = features.engineer_features_at(two_depths, include_change=False)
     assert "O2_Derivative_1W" not in plain.columns and "Chl_a_lag_2W" in plain.columns
 
 
 def test_rolling_mean(two_depths):
-    df = features.add_rolling_mean(labels.select_depth(two_depths), column="Chl_a", weeks=2)
-    assert column(df, "Chl_a_mean_2W") == [1.5, 2.0, 3.0, 4.0, 5.0]
+    df = features.add_rolling_mean(labels.select_depth(two_depths), column="Chl_a", weeks=3)
+    assert column(df, "Chl_a_mean_3W") == pytest.approx([1.0, 1.5, 7 / 3, 14 / 3, 28 / 3, 56 / 3])
 
 
-def test_labels(o2_series):
-    df = labels.label_risk(o2_series([90.0, 70.0, 45.0, 10.0, None]))
-    assert column(df, "sample_weight") == [1.0, 3.0, 6.0, 12.0, None]
-    assert column(df, "oxygen_deficit") == [0.0, 0.0, 15.0, 50.0, None]
-    assert column(labels.add_tier(df), "tier") == ["normoxic", "watch", "hypoxic", "severe", None]
-    assert column(labels.with_extreme_weights(df), "sample_weight") == [1.0, 1.0, 100.0, 100.0, 1.0]
-    assert set(column(labels.with_uniform_weights(df), "sample_weight")) == {1.0}
+#: On, just under and far under each threshold.
+LEVELS = [80.0, 79.5, 60.0, 59.75, 30.0, 29.0, 0.0, None]
 
 
-def test_thresholds_are_strict(o2_series):
-    df = labels.add_tier_weight(o2_series([80.0, 60.0, 30.0]))
-    assert column(df, "sample_weight") == [1.0, 3.0, 6.0]
+def test_labels_are_strict_at_the_thresholds(o2_series):
+    df = labels.label_risk(o2_series(LEVELS))
+    assert column(df, "sample_weight") == [1.0, 3.0, 3.0, 6.0, 6.0, 12.0, 12.0, None]
+    assert column(df, "oxygen_deficit") == [0.0, 0.0, 0.0, 0.25, 30.0, 31.0, 60.0, None]
+    tiers = ["normoxic", "watch", "watch", "hypoxic", "hypoxic", "severe", "severe", None]
+    assert column(labels.add_tier(df), "tier") == tiers
+    assert column(labels.with_extreme_weights(df), "sample_weight") == [1.0] * 3 + [100.0] * 4 + [1.0]
+    assert column(labels.with_uniform_weights(df), "sample_weight") == [1.0] * 8
 
 
 def test_target_depth_only(two_depths):
@@ -79,8 +81,8 @@ def test_target_depth_only(two_depths):
 
 
 def test_imbalance_counts_known_weeks(o2_series):
-    row = labels.imbalance_report(o2_series([90.0, 70.0, 45.0, 10.0, None])).first()
-    assert (row.watch, row.hypoxic, row.severe) == (0.75, 0.5, 0.25)
+    row = labels.imbalance_report(o2_series(LEVELS)).first()
+    assert (row.watch, row.hypoxic, row.severe) == pytest.approx((6 / 7, 4 / 7, 2 / 7))
 
 
 def test_completeness_in_one_pass(o2_series):
@@ -91,22 +93,20 @@ def test_completeness_in_one_pass(o2_series):
     assert labels.drop_incomplete(df).count() == 2
 
 
-def test_episodes(o2_series):
-    found = episodes.find_episodes(o2_series([90.0, 40.0, 30.0, 20.0, 90.0, 50.0, 90.0]), with_id=True)
+def test_episodes_end_at_the_threshold_and_at_unknown_weeks(o2_series):
+    values = [59.0, 61.0, 12.0, None, 33.0, 58.0, 60.0, 8.0, 9.0, 8.0, 7.5]
+    found = episodes.find_episodes(o2_series(values), with_id=True)
+    at = weeks(len(values))
     rows = found.orderBy("start_date").collect()
-    assert [(r.episode_id, r.duration_weeks, r.min_o2) for r in rows] == [(1, 3, 20.0), (2, 1, 50.0)]
-    assert [(r.start_date, r.end_date) for r in rows] == [
-        (weeks(7)[1], weeks(7)[3]),
-        (weeks(7)[5], weeks(7)[5]),
+    assert [(r.episode_id, r.start_date, r.end_date, r.duration_weeks, r.min_o2) for r in rows] == [
+        (1, at[0], at[0], 1, 59.0),
+        (2, at[2], at[2], 1, 12.0),
+        (3, at[4], at[5], 2, 33.0),
+        (4, at[7], at[10], 4, 7.5),
     ]
     stats = episodes.episode_statistics(found).first()
-    assert (stats.n_episodes, stats.longest_weeks) == (2, 3)
-
-
-def test_unknown_week_ends_an_episode(o2_series):
-    df = o2_series([40.0, None, 40.0, 40.0])
-    assert sorted(r.duration_weeks for r in episodes.find_episodes(df).collect()) == [1, 2]
-    assert episodes.find_episodes(o2_series([90.0, None])).count() == 0
+    assert (stats.n_episodes, stats.longest_weeks) == (4, 4)
+    assert episodes.find_episodes(o2_series([None, 75.0])).count() == 0
 
 
 def test_weeks_of_episodes_are_the_weeks_below(o2_series):
@@ -116,17 +116,18 @@ def test_weeks_of_episodes_are_the_weeks_below(o2_series):
 
 
 def test_held_out_events(o2_series):
-    values = [100.0] * 100
-    values[20:25] = [40.0] * 5
-    values[50:53] = [45.0] * 3
-    values[90:92] = [50.0] * 2
-    df = o2_series(values)
-    assert sorted(r.duration_weeks for r in episodes.held_out_events(df).collect()) == [2, 3, 5]
-    long = episodes.held_out_events(df, min_weeks=4).collect()
-    assert [r.duration_weeks for r in long] == [5]
-    late = episodes.held_out_events(df, min_weeks=1, from_date=weeks(100)[80]).collect()
-    assert [r.start_date for r in late] == [weeks(100)[90]]
-    assert {"start_date", "end_date", "duration_weeks", "min_o2"} <= set(late[0].asDict())
+    spans = {3: 1, 17: 7, 40: 2, 57: 3}
+    low = {i for start, n in spans.items() for i in range(start, start + n)}
+    df = o2_series([25.0 + i % 3 if i in low else 66.0 + i for i in range(64)])
+
+    def starts(**options):
+        return sorted(r.start_date for r in episodes.held_out_events(df, **options).collect())
+
+    at = weeks(64)
+    assert starts() == [at[17], at[40], at[57]]
+    assert starts(min_weeks=3) == [at[17], at[57]]
+    assert starts(min_weeks=1, from_date=at[18]) == [at[40], at[57]]
+    assert starts(min_weeks=8) == []
 
 
 def test_episodes_take_one_shuffle(o2_series):
@@ -139,12 +140,13 @@ def test_episodes_take_one_shuffle(o2_series):
 
 
 def test_weight_check_and_class_counts(o2_series):
-    df = labels.add_tier_weight(o2_series([90.0, 70.0, 45.0, 10.0, None]))
+    df = labels.add_tier_weight(o2_series([70.0, 75.0, 95.0, 50.0, 25.0, 55.0, None]))
     row = audit.weight_check(df).first()
-    assert row.weight_present and (row.n_below, row.n_not_below) == (2, 3)
-    assert (row.mean_weight_below, row.mean_weight_not_below, row.weight_ratio) == (9.0, 2.0, 4.5)
+    assert row.weight_present and (row.n_below, row.n_not_below) == (3, 4)
+    assert (row.mean_weight_below, row.mean_weight_not_below) == pytest.approx((8.0, 7 / 3))
+    assert row.weight_ratio == pytest.approx(24 / 7)
     counts = audit.class_counts(df).first()
-    assert (counts.n_below, counts.n_not_below) == (2, 3)
+    assert (counts.n_below, counts.n_not_below) == (3, 4)
     below = df.where("O2_umol_L < 60")
     assert audit.weight_check(below).first().weight_ratio is None
     assert audit.weight_check(below, empty_ratio_as_zero=True).first().weight_ratio == 0.0

@@ -25,17 +25,16 @@ def prepared(df, **options):
 
 
 def test_gap_at_the_limit_and_edges_are_filled(spark):
-    df = prepared(samples(spark, [None, 10.0] + [None] * 8 + [20.0] + [None] * 3))
-    values = column(df, "O2_umol_L")
-    assert len(values) == 14 and None not in values
-    assert values[0] == 10.0 and values[-1] == 20.0
-    assert values[5] == pytest.approx(10 + 10 * 4 / 9)
+    values = column(prepared(samples(spark, [None, None, 64.0] + [None] * 8 + [1.0, 5.0, None])), "O2_umol_L")
+    assert values[:3] == [64.0] * 3 and values[-3:] == [1.0, 5.0, 5.0]
+    assert values[3:11] == pytest.approx([57.0, 50.0, 43.0, 36.0, 29.0, 22.0, 15.0, 8.0])
 
 
-def test_longer_gap_is_filled_for_its_first_eight_weeks(spark):
-    values = column(prepared(samples(spark, [10.0] + [None] * 10 + [20.0])), "O2_umol_L")
-    assert [v is None for v in values] == [False] * 9 + [True] * 2 + [False]
-    assert values[8] == pytest.approx(10 + 10 * 8 / 11)
+@pytest.mark.parametrize("missing", [9, 13, 30])
+def test_longer_gap_is_filled_for_its_first_eight_weeks(spark, missing):
+    values = column(prepared(samples(spark, [0.0] + [None] * missing + [missing + 1.0])), "O2_umol_L")
+    assert values[:9] == pytest.approx(list(range(9)))
+    assert values[9:-1] == [None] * (missing - 8) and values[-1] == missing + 1
 
 
 def test_time_index_and_month(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tailseries import config as C
 from tailseries.models import experiments as X
-from tailseries.models.forecast import fit_forecaster, model_frame, score_scenarios
+from tailseries.models.forecast import Forecaster, fit_forecaster, model_frame, score_scenarios
 from tailseries.operators import audit, episodes, evaluate, labels, split, windows
 from tailseries.plans.train import train
 from tailseries.sources import records
@@ -179,21 +179,11 @@ def test_models_experiments_and_records(spark, many_series, tmp_path):
     assert {r.weights for r in result} == {"extreme", "uniform"}
     assert all(r.passed == (r.difference_pct > 5) for r in result)
 
-    board = X.search_parameters(
-        parts,
-        features=["driver"],
-        space={"encoder_length": (4, 6), "decoder_length": (2,), "reg_param": (0.1,)},
-        trials=2,
-    )
-    rows = board.collect()
-    assert [r.state for r in rows] == ["complete"] * 2
-    assert X.best_trial(board).first().score == min(r.score for r in rows)
-    counts = {r.state: r.n_trials for r in X.trial_summary(board).collect()}
-    assert counts == {"complete": 2, "total": 2}
-
     path = str(tmp_path / "run")
     run = train(many_series, path=path, parameters={"decoder_length": 2.0})
     assert run.features == ["driver"] and run.metrics.count() == 2
+    again = Forecaster.load(spark, f"{path}/model")
+    assert again.models == run.model.models and again.offsets == run.model.offsets
     manifest = records.read_manifest(spark, f"{path}/manifest").first()
     assert manifest.weights.tier_weights["severe"] == 12.0
     assert {d.split: d.n_rows for d in manifest.dataset}["train"] == 120
