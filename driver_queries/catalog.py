@@ -7,13 +7,16 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from driver_queries import roles as R
-from driver_queries.oracle import OVER, SERIES, named, rounded, sql
+from driver_queries import fits, roles as R
+from driver_queries.oracle import OVER, SERIES, named, rounded, sql, surface
 from driver_queries.roles import KEYS, OCEAN, TARGET, WEATHER, r6, table
 from tailseries import config as C
 from tailseries.functions.calendar import month_cos, month_sin
 from tailseries.models import experiments as X
-from tailseries.models.forecast import fit_forecaster, model_frame, score_scenarios
+from tailseries.models.forecast import fit_forecaster, model_frame
+from tailseries.models.moments import frame_moments
+from tailseries.models.scenarios import response_table
+from tailseries.models.store import ModelStore
 from tailseries.operators import (
     asof,
     audit,
@@ -205,18 +208,16 @@ def fill_join_one_per_key(spark, sf_dir):
 
 # --- Weather, as-of -------------------------------------------------------------------------
 
-_EVENT_DAYS = """wide AS (
-  SELECT user_id, ts, avg(value) FILTER (event_type = 'view') AS v_view,
-         avg(value) FILTER (event_type = 'click') AS v_click,
-         avg(value) FILTER (event_type = 'purchase') AS v_purchase
+_KINDS = {k: f"v_{k}" for k in ("view", "click", "error", "purchase", "signup")}
+_EVENT_DAYS = f"""wide AS (
+  SELECT user_id, ts, {", ".join(f"avg(value) FILTER (event_type = '{k}') AS {c}" for k, c in _KINDS.items())}
   FROM events GROUP BY 1, 2)"""
-_KINDS = {"view": "v_view", "click": "v_click", "purchase": "v_purchase"}
 
 
 @query(f"""WITH {_EVENT_DAYS}
-SELECT user_id, ts, round(v_view, 6) AS v_view, round(v_click, 6) AS v_click,
-       round(v_purchase, 6) AS v_purchase FROM wide""")
+SELECT user_id, ts, {rounded(*_KINDS.values())} FROM wide""")
 def long_to_wide(spark, sf_dir):
+    """All kinds of events."""
     wide = weather.pivot_parameters(
         table(spark, sf_dir, "events").withColumnRenamed("event_type", "parameter"),
         by=["user_id"],
@@ -230,10 +231,9 @@ def long_to_wide(spark, sf_dir):
  days AS (SELECT user_id, CAST(unnest(generate_series(date_trunc('day', min(ts)),
             date_trunc('day', max(ts)), INTERVAL 1 DAY)) AS DATE) AS day
           FROM wide GROUP BY user_id),
- means AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(v_view) AS v_view,
-             avg(v_click) AS v_click, avg(v_purchase) AS v_purchase FROM wide GROUP BY 1, 2)
-SELECT d.user_id, d.day, round(v_view, 6) AS v_view, round(v_click, 6) AS v_click,
-       round(v_purchase, 6) AS v_purchase
+ means AS (SELECT user_id, CAST(ts AS DATE) AS day, {", ".join(f"avg({c}) AS {c}" for c in _KINDS.values())}
+           FROM wide GROUP BY 1, 2)
+SELECT d.user_id, d.day, {rounded(*_KINDS.values())}
 FROM days d LEFT JOIN means m ON m.user_id = d.user_id AND m.day = d.day""")
 def daily_means(spark, sf_dir):
     wide = weather.pivot_parameters(
@@ -254,16 +254,36 @@ def wind_vector(spark, sf_dir):
 
 
 @query(sql(f"""SELECT CAST(nation_id AS VARCHAR) AS station_id, "Date", {rounded(*WEATHER)}
-FROM weather""", "weather"))
+FROM weather WHERE nation_id % 2 = 1 OR "Date" >= DATE '1998-01-01'""", "weather"))
 def daily_table(spark, sf_dir):
-    """Daily weather written per station and read back."""
+    """Daily weather of all stations published, that of every other station again from 1998 on, and read back."""
     path = tables.scratch_path(spark, "weather-daily")
     daily = R.weather(spark, sf_dir).withColumn("station_id", F.col("nation_id").cast("string"))
     tables.write_weather_daily(daily.drop("nation_id"), path)
+    again = daily.where((F.col("nation_id") % 2 == 0) & (F.col("Date") >= F.lit("1998-01-01").cast("date")))
+    tables.write_weather_daily(again.drop("nation_id"), path)
     stored = tables.read_weather_daily(spark, path)
     return stored.select("station_id", "Date", *[r6(c) for c in WEATHER])
 
 
+@query(sql(f"""SELECT CAST(nation_id AS VARCHAR) AS station_id, "Date", {rounded(*WEATHER)} FROM weather
+WHERE nation_id IN (SELECT n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey
+                    WHERE r_name <> 'ASIA')""", "weather"))
+def landed_weather(spark, sf_dir):
+    """Readings landed by station and year, read back for a table of stations, up to the daily table."""
+    path = tables.scratch_path(spark, "weather-long")
+    readings = R.readings(spark, sf_dir).withColumn("station_id", F.col("nation_id").cast("string"))
+    tables.write_weather_long(readings, path)
+    places = table(spark, sf_dir, "nation").join(
+        table(spark, sf_dir, "region").where("r_name <> 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    stations = places.select(F.col("n_nationkey").cast("string").alias("station_id"))
+    landed = tables.read_weather_long(spark, path, stations=stations)
+    wide = weather.pivot_parameters(landed, parameters=R.PARAMETERS)
+    daily = weather.add_wind_vector(weather.daily_means(wide, value_cols=list(R.PARAMETERS.values())))
+    return daily.select("station_id", "Date", *[r6(c) for c in WEATHER])
+
+
 @query(
     sql("""SELECT p.station_id, p."Depth_m", CAST(p."Date" AS DATE) AS "Date",
        round(p."O2_umol_L", 6) AS "O2_umol_L", round(n.value, 6) AS value,
@@ -390,9 +410,7 @@ def month_encoding(spark, sf_dir):
 
 # --- Features -------------------------------------------------------------------------------
 
-_SURFACE = """SELECT b.*, s."Temp_C" AS "Surface_Temp_C", s."O2_umol_L" AS "Surface_O2_umol_L"
-  FROM filled b LEFT JOIN (SELECT * FROM filled WHERE "Depth_m" = 1) s
-    ON s.station_id = b.station_id AND s."Date" = b."Date" WHERE b."Depth_m" = 4"""
+_SURFACE = surface("filled")
 
 
 def _with_surface(spark, sf_dir):
@@ -699,6 +717,35 @@ def enc_dec_windows(spark, sf_dir):
     return steps.select(*KEYS, "split", "origin", "offset", "O2_umol_L", C.WEIGHT)
 
 
+_PAST = ("Temp_C", "Salinity", "Chl_a")
+_ROLES = [*_PAST, *C.KNOWN_COVARIATES]
+
+
+@query(sql("SELECT 1", "known").replace(
+    "SELECT 1", f""", {_PARTS}, {_STEPS.replace('t."O2_umol_L",', 't."O2_umol_L", ' + ", ".join(
+        f'CASE WHEN t."Time_Idx" <= o."Time_Idx" THEN t."{c}" END AS "{c}"' for c in _PAST
+    ) + ", t.month_sin, t.month_cos,")}
+SELECT {SERIES}, split, origin, "offset", {rounded(*_ROLES)}, n_encoder AS encoder_length,
+       min("offset") OVER (PARTITION BY {SERIES}, split, origin) AS first_index,
+       max("offset") OVER (PARTITION BY {SERIES}, split, origin) AS last_index
+FROM steps WHERE n_encoder >= 4 AND n_decoder >= 1"""))
+def window_covariates(spark, sf_dir):
+    """Covariates by role: past ones in the encoder only, the calendar in both, with the window's own columns."""
+    held = _windows(spark, sf_dir)
+    keys = [*KEYS, "split"]
+    own = held.select(
+        *keys,
+        F.col("Time_Idx").alias("origin"),
+        "encoder_length",
+        F.element_at("relative_index", 1).alias("first_index"),
+        F.element_at("relative_index", -1).alias("last_index"),
+    )
+    steps = windows.window_steps(held, keys=keys, covariates=_ROLES)
+    return steps.join(own, [*keys, "origin"]).select(
+        *keys, "origin", "offset", *[r6(c) for c in _ROLES], "encoder_length", "first_index", "last_index"
+    )
+
+
 @query(sql("SELECT 1", "known").replace(
     "SELECT 1", f""", {_PARTS}, {_STEPS}
 SELECT {SERIES}, max(origin) AS origin
@@ -714,16 +761,18 @@ _Z = '("O2_umol_L" + ln(1 - exp(-"O2_umol_L")))'
 
 
 @query(sql(f"""SELECT c.station_id, c."Depth_m", "Date",
-       round(({_Z} - center) / CASE WHEN scale <> 0 THEN scale END, 6) AS "O2_umol_L_scaled"
+       round(({_Z} - center) / CASE WHEN scale <> 0 THEN scale END, 6) AS "O2_umol_L_scaled",
+       round(ln(1 + exp(({_Z} - center) / CASE WHEN scale <> 0 THEN scale END * scale + center)), 6) AS "O2_umol_L_back"
 FROM (SELECT * FROM cut WHERE split = 'validation') c
 LEFT JOIN (SELECT station_id, "Depth_m", avg({_Z}) AS center, stddev_samp({_Z}) AS scale
            FROM cut WHERE split = 'train' GROUP BY 1, 2) s
   ON s.station_id = c.station_id AND s."Depth_m" = c."Depth_m" """, "cut"))
 def group_scaling(spark, sf_dir):
-    """Validation rows on the scale of their series' training rows."""
+    """Validation rows on the scale of their series' training rows, and back."""
     train, validation = split.split_frames(R.split(spark, sf_dir))
     scaled = windows.apply_scaling(validation, windows.fit_scaling(train))
-    return scaled.select(*KEYS, "Date", r6("O2_umol_L_scaled"))
+    back = windows.unscale(scaled, column="O2_umol_L_scaled", name="O2_umol_L_back")
+    return back.select(*KEYS, "Date", r6("O2_umol_L_scaled"), r6("O2_umol_L_back"))
 
 
 # --- Evaluation on the persistence baseline -------------------------------------------------
@@ -759,11 +808,11 @@ def weighted_scores(spark, sf_dir):
 
 def _banded(spark, sf_dir):
     """Baseline with a band: lowest and highest known value of the eight weeks before."""
-    past = W.partitionBy(*KEYS).orderBy("Time_Idx").rowsBetween(-7, 0)
+    past = W.partitionBy(*KEYS, "split").orderBy("Time_Idx").rowsBetween(-7, 0)
     rows = R.split(spark, sf_dir).withColumns(
         {"low": F.min("O2_umol_L").over(past), "high": F.max("O2_umol_L").over(past)}
     )
-    held = evaluate.persistence(rows, carry=["split", "low", "high"])
+    held = evaluate.persistence(rows, keys=[*KEYS, "split"], carry=["low", "high"])
     return held.withColumns(
         {
             "p10": F.least("low", "predicted"),
@@ -924,17 +973,9 @@ def event_summary(spark, sf_dir):
     return summary.withColumns({c: F.round(c, 6) for c in values})
 
 
-# --- Models: fitted, so without SQL ---------------------------------------------------------
+# --- Models ---------------------------------------------------------------------------------
 
-_INPUTS = [
-    "Temp_C",
-    "Salinity",
-    "Chl_a",
-    "Surface_Temp_C",
-    "Surface_O2_umol_L",
-    "Vertical_Temp_Grad",
-    "Chl_a_lag_2W",
-]
+_INPUTS = list(fits.INPUTS)
 
 
 def _model_table(spark, sf_dir):
@@ -945,63 +986,153 @@ def _model_table(spark, sf_dir):
     kept = rows.select(
         *KEYS, "Date", "Time_Idx", "month_sin", "month_cos", *_INPUTS, C.TARGET, C.WEIGHT
     )
-    return split.chronological_split(tables.staged(kept, "labelled"))
+    cut = split.chronological_split(tables.staged(kept, "labelled"))
+    return tables.staged(cut, "model-table")
 
 
-@query()
+def r3(column: str):
+    return F.round(column, 3).alias(column)
+
+
+_FORECAST = """SELECT station_id, "Depth_m", origin, horizon, "Date", round(actual, 3) AS actual,
+       round(predicted, 3) AS predicted, round(p10, 3) AS p10, round(p50, 3) AS p50, round(p90, 3) AS p90
+FROM tier_forecast"""
+
+
+@query(sql(_FORECAST, "tier_forecast"))
 def forecast(spark, sf_dir):
     rows = X.validation_forecast(_model_table(spark, sf_dir), features=_INPUTS)
-    return rows.select(*KEYS, "origin", "horizon", "Date", "actual", "predicted", "p10", "p90")
+    return rows.select(
+        *KEYS, "origin", "horizon", "Date", *[r3(c) for c in ("actual", "predicted", "p10", "p50", "p90")]
+    )
+
+
+@query(sql(f"""SELECT horizon, names[i] AS input, round(beta[i] * s[i], 4) AS effect, round(intercept, 2) AS intercept
+FROM (SELECT *, [{", ".join(f"'{c}'" for c in [*_INPUTS, *[f"{c}_enc" for c in _INPUTS], "future_sin", "future_cos"])}]
+               AS names, unnest(range(1, {fits.Y + 1})) AS i FROM tier_form)""", "tier_form"))
+def linear_form(spark, sf_dir):
+    """Each input's effect on the forecast per standard deviation, by horizon."""
+    frame = model_frame(_model_table(spark, sf_dir), features=_INPUTS, keys=[*KEYS, "split"]).store()
+    train = frame.where(F.col("split") == "train")
+    model = fit_forecaster(train, band=False)
+    moments = frame_moments(train)
+    rows = []
+    for h, form in model.models.items():
+        spread = (moments[None, h].co.diagonal() / moments[None, h].weight) ** 0.5
+        for name, b, s in zip(form.columns, form.coefficients, spread):
+            rows.append((h, name.removesuffix(f"_{h}") if name.startswith("future_") else name, float(b * s), form.intercept))
+    effects = spark.createDataFrame(rows, "horizon INT, input STRING, effect DOUBLE, intercept DOUBLE")
+    return effects.select("horizon", "input", F.round("effect", 4).alias("effect"), F.round("intercept", 2).alias("intercept"))
 
 
 @query()
 def forecast_trees(spark, sf_dir):
-    rows = X.validation_forecast(
-        _model_table(spark, sf_dir),
-        features=_INPUTS,
-        kind="trees",
-        parameters={"max_iter": 5, "decoder_length": 2},
-    )
+    rows = X.validation_forecast(_model_table(spark, sf_dir), features=_INPUTS, kind="trees")
     return rows.select(*KEYS, "origin", "horizon", "Date", "actual", "predicted", "p10", "p90")
 
 
-@query()
+@query(sql(f"""SELECT weights, round(loss, 6) AS loss, round(weighted_rmse, 6) AS weighted_rmse,
+       round(tail_rmse, 6) AS tail_rmse, round(difference_pct, 4) AS difference_pct, difference_pct > 5 AS passed
+FROM (SELECT *, 100.0::DOUBLE * abs(max(CASE WHEN weights = 'extreme' THEN loss END) OVER ()
+                    - max(CASE WHEN weights = 'uniform' THEN loss END) OVER ())
+                  / max(CASE WHEN weights = 'uniform' THEN loss END) OVER () AS difference_pct
+      FROM ({fits.scores("extreme")} UNION ALL {fits.scores("uniform")}))""", "extreme_forecast", "uniform_forecast"))
 def weight_experiment(spark, sf_dir):
-    return X.weight_experiment(_model_table(spark, sf_dir), features=_INPUTS)
+    found = X.weight_experiment(_model_table(spark, sf_dir), features=_INPUTS)
+    rounded_ = {c: F.round(c, 6) for c in ("loss", "weighted_rmse", "tail_rmse")}
+    return found.withColumns({**rounded_, "difference_pct": F.round("difference_pct", 4)})
+
+
+@query(sql("""SELECT e.station_id, e."Depth_m", start_date, end_date, w."Date", w.origin, w.horizon,
+       round(w.actual, 3) AS actual, round(w.predicted, 3) AS weighted, round(u.predicted, 3) AS unweighted
+FROM (SELECT * FROM episodes WHERE duration_weeks >= 2) e
+JOIN tier_forecast w ON w.station_id = e.station_id AND w."Depth_m" = e."Depth_m" AND w."Date" BETWEEN start_date AND end_date
+JOIN uniform_forecast u ON u.station_id = w.station_id AND u."Depth_m" = w."Depth_m" AND u.origin = w.origin
+ AND u.horizon = w.horizon""", "episodes", "tier_forecast", "uniform_forecast"))
+def event_study_models(spark, sf_dir):
+    """Observation, weighted and unweighted model, week by week of every event of the validation side."""
+    rows = _model_table(spark, sf_dir)
+    both = X.validation_forecast(rows, features=_INPUTS).select(
+        *KEYS, "origin", "horizon", "Date", "actual", F.col("predicted").alias("weighted")
+    )
+    plain = X.validation_forecast(labels.with_uniform_weights(rows), features=_INPUTS).select(
+        *KEYS, "origin", "horizon", F.col("predicted").alias("unweighted")
+    )
+    study = evaluate.event_study(
+        episodes.held_out_events(R.weekly(spark, sf_dir)),
+        both.join(plain, [*KEYS, "origin", "horizon"]),
+        value_cols=["actual", "weighted", "unweighted"],
+    )
+    return study.withColumns({c: F.round(c, 3) for c in ("actual", "weighted", "unweighted")})
 
 
 @query()
 def param_search(spark, sf_dir):
-    board = X.search_parameters(_model_table(spark, sf_dir), features=_INPUTS, trials=3)
+    """The leaderboard of the default search, written and read back."""
+    store = ModelStore(spark, tables.scratch_path(spark, "models"))
+    board = X.search_parameters(_model_table(spark, sf_dir), features=_INPUTS, store=store)
     path = tables.scratch_path(spark, "leaderboard")
     records.write_leaderboard(board, path)
     return records.read_leaderboard(spark, path)
 
 
-@query()
-def forward_selection(spark, sf_dir):
-    _, steps = X.forward_selection(
-        _model_table(spark, sf_dir),
-        candidates=["Surface_O2_umol_L", "Chl_a"],
-        base=["Temp_C"],
-        metric=X.tail_metric(),
+_TRIALS = """trials AS (
+  SELECT CAST(s_suppkey AS INTEGER) AS trial, score,
+         CASE WHEN s_suppkey % 7 = 0 THEN 'failed' WHEN s_suppkey % 3 = 0 THEN 'pruned' ELSE 'complete' END AS state,
+         s_nationkey AS width
+  FROM supplier JOIN (SELECT l_suppkey, round(avg(l_quantity), 3) AS score FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey)"""
+
+
+@query(f"""WITH {_TRIALS}, best AS (SELECT * FROM trials WHERE state = 'complete' ORDER BY score, trial LIMIT 1)
+SELECT v.state, CAST(CASE v.state WHEN 'total' THEN (SELECT count(*) FROM trials)
+         ELSE (SELECT count(*) FROM trials t WHERE t.state = v.state) END AS BIGINT) AS n_trials,
+       b.trial AS best_trial, b.score AS best_score, CAST(b.width AS DOUBLE) AS width, 0.25::DOUBLE AS reg_param, 8.0::DOUBLE AS encoder_length
+FROM (VALUES ('total'), ('complete'), ('pruned'), ('failed')) v(state) CROSS JOIN best b""")
+def trial_board(spark, sf_dir):
+    """Suppliers as trials: leaderboard written and read back, its summary, best trial and merged configuration."""
+    mean = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
+        F.round(F.avg("l_quantity"), 3).alias("score")
     )
-    return spark.createDataFrame(
-        [(i, ",".join(f), float(s)) for i, (f, s) in enumerate(steps)],
-        "step INT, features STRING, score DOUBLE",
+    key = F.col("s_suppkey")
+    state = F.when(key % 7 == 0, "failed").when(key % 3 == 0, "pruned").otherwise("complete")
+    trials = table(spark, sf_dir, "supplier").join(mean, "s_suppkey").select(
+        key.cast("int").alias("trial"),
+        state.alias("state"),
+        F.when(state != "failed", F.col("score")).alias("score"),
+        F.lit(1).alias("iterations"),
+        F.create_map(F.lit("width"), F.col("s_nationkey").cast("double")).alias("parameters"),
+        F.when(state == "failed", "ValueError: no rows").alias("message"),
+    )
+    path = tables.scratch_path(spark, "leaderboard")
+    records.write_leaderboard(trials, path)
+    board = records.read_leaderboard(spark, path)
+    merged = records.best_configuration(board, {"width": -1.0, "encoder_length": 8.0, "reg_param": 0.1}, {"reg_param": 0.25})
+    best = X.best_trial(board).select(F.struct(F.col("trial").alias("best_trial"), F.col("score").alias("best_score")).alias("b"))
+    return X.trial_summary(board).withColumn("b", best.scalar()).select(
+        "state", "n_trials", "b.*", *[F.lit(merged[c]).alias(c) for c in ("width", "reg_param", "encoder_length")]
     )
 
 
-@query()
+@query(sql(fits.SELECTION, *[f"best_{k}" for k in range(fits.N + 1)]))
+def forward_selection(spark, sf_dir):
+    """Every candidate's validation error in every step of the selection, all features as candidates."""
+    _, steps = X.select_features(_model_table(spark, sf_dir), candidates=_INPUTS)
+    rows = [(s.step, s.candidate, round(s.score, 6), s.taken) for s in steps]
+    return spark.createDataFrame(rows, "step INT, candidate STRING, score DOUBLE, taken BOOLEAN")
+
+
+_LEVELS = {
+    "Surface_O2_umol_L": [0, 125, 250, 375, 500],
+    "Wind_Speed_ms": [50, 100, 150, 200, 250],
+    "Temp_C": [10000, 30000, 50000, 70000, 90000],
+    "Salinity": [0, 4, 8],
+}
+
+
+@query(sql(fits.response(_LEVELS), "model_ahead", "tier_form"))
 def virtual_experiments(spark, sf_dir):
-    rows = _model_table(spark, sf_dir)
-    frame = model_frame(rows, features=["Temp_C", "Surface_O2_umol_L"], keys=[*KEYS, "split"])
-    model = fit_forecaster(frame.where(F.col("split") == "train"))
-    scored = score_scenarios(
-        model,
-        frame.where(F.col("split") == "validation"),
-        {"as_is": {}, "low_surface": {"Surface_O2_umol_L": 50.0}, "warm": {"Temp_C": 90000.0}},
-    )
-    return scored.groupBy("scenario", "horizon").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("predicted").alias("mean_predicted")
-    )
+    """The response of the forecast to every combination of four drivers."""
+    frame = model_frame(_model_table(spark, sf_dir), features=_INPUTS, keys=[*KEYS, "split"]).store()
+    model = fit_forecaster(frame.where(F.col("split") == "train"), band=False)
+    table_ = response_table(model, frame.where(F.col("split") == "validation"), _LEVELS)
+    return table_.withColumn("mean_predicted", F.round("mean_predicted", 3))

@@ -38,7 +38,7 @@ _cte("series", ("obs",), """
 _cte("grid", ("series", "weeks", "weekly"), """
     SELECT s.station_id, s."Depth_m", w."Date", w."Time_Idx",
            v."O2_umol_L", v."Temp_C", v."Chl_a", v."Salinity"
-    FROM series s, weeks w
+    FROM series s CROSS JOIN weeks w
     LEFT JOIN weekly v ON v.station_id = s.station_id AND v."Depth_m" = s."Depth_m"
                       AND v."Date" = w."Date" """)
 
@@ -74,6 +74,7 @@ def _filling(columns: tuple[str, ...], source: str, series: str) -> str:
 
 SERIES = 'station_id, "Depth_m"'
 OVER = f'OVER (PARTITION BY {SERIES} ORDER BY "Date")'
+WITHIN = f'OVER (PARTITION BY {SERIES}, split ORDER BY "Date")'
 _cte("filled", ("grid",), _filling(("O2_umol_L", "Temp_C", "Chl_a", "Salinity"), "grid", SERIES))
 
 
@@ -112,28 +113,37 @@ _cte("forecasts", ("cut",), f"""
     SELECT o.station_id, o."Depth_m", o.split, o.origin, h.horizon, t."Date",
            t."O2_umol_L" AS actual, o.predicted, t.sample_weight
     FROM (SELECT station_id, "Depth_m", split, "Date" AS origin,
-                 last_value("O2_umol_L" IGNORE NULLS) {OVER} AS predicted FROM cut) o
+                 last_value("O2_umol_L" IGNORE NULLS) {WITHIN} AS predicted FROM cut) o
     CROSS JOIN (VALUES (1), (2), (3), (4)) h(horizon)
-    JOIN cut t ON t.station_id = o.station_id AND t."Depth_m" = o."Depth_m"
+    JOIN cut t ON t.station_id = o.station_id AND t."Depth_m" = o."Depth_m" AND t.split = o.split
               AND t."Date" = o.origin + 7 * h.horizon
     WHERE o.predicted IS NOT NULL AND t."O2_umol_L" IS NOT NULL""")
-_cte("banded", ("forecasts", "labelled"), f"""
+_cte("banded", ("forecasts", "cut"), f"""
     SELECT f.*, least(b.low, f.predicted) AS p10, f.predicted AS p50,
            greatest(b.high, f.predicted) AS p90
     FROM forecasts f
     JOIN (SELECT station_id, "Depth_m", "Date",
                  min("O2_umol_L") OVER w AS low, max("O2_umol_L") OVER w AS high
-          FROM labelled
-          WINDOW w AS (PARTITION BY {SERIES} ORDER BY "Date"
+          FROM cut
+          WINDOW w AS (PARTITION BY {SERIES}, split ORDER BY "Date"
                        ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)) b
       ON b.station_id = f.station_id AND b."Depth_m" = f."Depth_m" AND b."Date" = f.origin""")
 
+
+def surface(source: str) -> str:
+    """Target rows with the surface values of their station and day."""
+    at = 'OVER (PARTITION BY station_id, "Date")'
+    return f"""SELECT * FROM (SELECT *,
+             max(CASE WHEN "Depth_m" = 1 THEN "Temp_C" END) {at} AS "Surface_Temp_C",
+             max(CASE WHEN "Depth_m" = 1 THEN "O2_umol_L" END) {at} AS "Surface_O2_umol_L"
+           FROM {source}) WHERE "Depth_m" = 4"""
+
+
 # Weather by nation, its nearest day for every sample, and the table with both.
 _cte("readings", (), """
     SELECT c_nationkey AS nation_id, o_orderdate AS date, o_orderpriority AS parameter,
            round(o_totalprice / 1000) AS value
-    FROM orders JOIN customer ON c_custkey = o_custkey
-    WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')""")
+    FROM orders JOIN customer ON c_custkey = o_custkey""")
 _cte("wide", ("readings",), """
     SELECT nation_id, date,
            avg(value) FILTER (parameter = '1-URGENT') AS "Wind_Speed_ms",
@@ -179,7 +189,7 @@ _FULL = ("O2_umol_L", "Temp_C", "Chl_a", "Salinity", "Air_Temp_C", "Wind_Speed_m
 _cte("full_grid", ("series", "weeks", "full_weekly"), f"""
     SELECT s.station_id, s."Depth_m", w."Date", w."Time_Idx",
            {", ".join(f'v."{c}"' for c in _FULL)}
-    FROM series s, weeks w
+    FROM series s CROSS JOIN weeks w
     LEFT JOIN full_weekly v ON v.station_id = s.station_id AND v."Depth_m" = s."Depth_m"
                            AND v."Date" = w."Date"
     WHERE s."Depth_m" IN (1, 4)""")
@@ -192,11 +202,7 @@ _cte("featured", ("full_filled",), f"""
            lag("Chl_a", 1) {OVER} AS "Chl_a_lag_1W", lag("Chl_a", 2) {OVER} AS "Chl_a_lag_2W",
            lag("Chl_a", 3) {OVER} AS "Chl_a_lag_3W", lag("Chl_a", 4) {OVER} AS "Chl_a_lag_4W",
            {_deficit()} AS oxygen_deficit, {_weight()} AS sample_weight
-    FROM (SELECT b.*, s."Temp_C" AS "Surface_Temp_C", s."O2_umol_L" AS "Surface_O2_umol_L"
-          FROM full_filled b
-          LEFT JOIN (SELECT * FROM full_filled WHERE "Depth_m" = 1) s
-            ON s.station_id = b.station_id AND s."Date" = b."Date"
-          WHERE b."Depth_m" = 4)""")
+    FROM ({surface("full_filled")})""")
 
 
 def sql(select: str, *needs: str) -> str:

@@ -79,7 +79,6 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         table(spark, sf_dir, "orders")
-        .where(F.col("o_orderpriority").isin(list(PARAMETERS)))
         .join(nation, "o_custkey")
         .select(
             "nation_id",
@@ -129,5 +128,5 @@ def featured(spark: SparkSession, sf_dir: str, *, complete_only: bool) -> DataFr
 
 
 def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Persistence forecasts on every series, with the side of the split of the origin."""
-    return persistence(split(spark, sf_dir), carry=["split"])
+    """Persistence forecasts on every series, origin and target on one side of the split."""
+    return persistence(split(spark, sf_dir), keys=[*KEYS, "split"])

@@ -64,7 +64,7 @@ def train(
             keys=[*keys, "split"],
             encoder_length=int(settings["encoder_length"]),
             decoder_length=int(settings["decoder_length"]),
-        )
+        ).store()
         model = fit_forecaster(
             frame.where(F.col("split") == "train"), kind=kind, parameters=settings
         )
