@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from driver_queries import fits, roles as R
 from driver_queries.oracle import OVER, SERIES, named, rounded, sql, surface
-from driver_queries.roles import KEYS, OCEAN, TARGET, WEATHER, r6, table
+from driver_queries.roles import KEYS, OCEAN, SURFACE, TARGET, WEATHER, r6, table
 from tailseries import config as C
 from tailseries.functions.calendar import month_cos, month_sin
 from tailseries.models import experiments as X
@@ -30,6 +30,7 @@ from tailseries.operators import (
     weather,
     windows,
 )
+from tailseries.plans.prepare import join_weather, load_ocean
 from tailseries.sources import delimited, records, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,6 +147,59 @@ def union_units(spark, sf_dir):
     )
 
 
+def _lines(rows, profile, columns, preamble):
+    """Records of a profile as text, with a preamble and the header among them."""
+    order = ["Date/Time", "Vessel", *[f for f in reversed(profile.columns) if f != "Date/Time"]]
+    known = {f: columns.get(c, F.lit("")) for f, c in profile.columns.items()}
+    record = F.concat_ws(profile.sep, *[F.coalesce(known.get(f, F.lit("v1")).cast("string"), F.lit("")) for f in order])
+    spark = rows.sparkSession
+    head = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in [*preamble, profile.sep.join(order)]])).alias("value"))
+    return rows.select(record.alias("value")).unionByName(head)
+
+
+_MOMENT = "l_shipdate + to_seconds(l_orderkey % 86400)"
+
+
+@query(f"""WITH ocean AS (
+  SELECT {_MOMENT} AS at, l_linenumber AS d, l_quantity * 10 * CASE WHEN l_shipdate < DATE '1998-01-01' THEN 1.015::DOUBLE ELSE 1 END AS o2,
+         CASE WHEN l_shipdate < DATE '1998-01-01' AND l_returnflag = 'A' THEN l_discount END AS chl,
+         CASE WHEN l_shipdate >= DATE '1998-01-01' THEN l_tax END AS si
+  FROM lineitem), supplement AS (
+  SELECT {_MOMENT} AS at, l_linenumber AS d, l_tax AS s FROM lineitem WHERE l_returnflag <> 'A')
+SELECT CAST(o.at AS TIMESTAMP) AS at, CAST(o.d AS DOUBLE) AS "Depth_m", count(*) AS n, round(sum(o2), 4) AS o2,
+       count(coalesce(chl, s)) AS n_chl, round(sum(coalesce(chl, s)), 6) AS chl, round(sum(si), 6) AS si
+FROM ocean o LEFT JOIN supplement x ON x.at = o.at AND x.d = o.d GROUP BY 1, 2""")
+def ocean_files(spark, sf_dir):
+    """Two ocean files and a tab-separated supplement, written as text and loaded onto one table."""
+    item = table(spark, sf_dir, "lineitem")
+    at = F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(secs=F.col("l_orderkey") % 86400)
+    item = item.withColumn("at", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"))
+    older = F.col("l_shipdate") < F.lit("1998-01-01")
+    shared = {"Date": F.col("at"), "Depth_m": F.col("l_linenumber"), "O2_umol_L": F.col("l_quantity") * 10}
+    own = F.when(F.col("l_returnflag") == "A", F.col("l_discount"))
+    kinds = {
+        "per_kg": (C.OCEAN_PER_KG, item.where(older), {**shared, "Chl_a": own}),
+        "per_litre": (C.OCEAN_PER_LITRE, item.where(~older), {**shared, "Silicate": F.col("l_tax")}),
+        "chlorophyll": (
+            C.CHLOROPHYLL,
+            item.where("l_returnflag <> 'A'"),
+            {"Date": F.col("at"), "Depth_m": F.col("l_linenumber"), "Chl_a_supplement": F.col("l_tax")},
+        ),
+    }
+    paths = {}
+    for kind, (profile, rows, columns) in kinds.items():
+        paths[kind] = tables.scratch_path(spark, kind)
+        _lines(rows, profile, columns, ["/* notes", "1998", f"Citation:{profile.sep}2001"]).write.text(paths[kind])
+    ocean = load_ocean(spark, **paths, station="fleet")
+    return ocean.groupBy(F.col("Date").alias("at"), "Depth_m").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.sum("O2_umol_L"), 4).alias("o2"),
+        F.count("Chl_a").alias("n_chl"),
+        r6(F.sum("Chl_a"), "chl"),
+        r6(F.sum("Silicate"), "si"),
+    )
+
+
 def _gappy(spark, sf_dir):
     item = table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
@@ -345,6 +399,23 @@ def asof_subsecond(spark, sf_dir):
     return joined.select("event_id", "user_id", "purchase_id", r6("value"))
 
 
+@query(sql(f"""SELECT p.station_id, p."Depth_m", CAST(p."Date" AS DATE) AS "Date", count(*) AS n,
+       count(n."Air_Temp_C") AS n_air, {", ".join(f'round(sum(n."{c}"), 4) AS "{c}"' for c in WEATHER)}
+FROM placed p LEFT JOIN nearest n ON n.n = p.nation_id AND n.at = p."Date" GROUP BY 1, 2, 3""", "placed", "nearest"))
+def weather_by_station(spark, sf_dir):
+    """Samples with the weather of the weather station that serves their ocean station."""
+    served = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("station_id"), F.col("s_nationkey").alias("weather_station")
+    )
+    daily = R.weather(spark, sf_dir).withColumnRenamed("nation_id", "station_id")
+    joined = join_weather(R.observations(spark, sf_dir), daily, station_map=served)
+    return joined.groupBy(*KEYS, F.to_date("Date").alias("Date")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("Air_Temp_C").alias("n_air"),
+        *[F.round(F.sum(c), 4).alias(c) for c in WEATHER],
+    )
+
+
 # --- Weekly table ---------------------------------------------------------------------------
 
 
@@ -377,6 +448,16 @@ def interp_bounded(spark, sf_dir):
     return rows.select(*KEYS, "Date", "Time_Idx", *OCEAN, "O2_umol_L_observed")
 
 
+@query(sql(f"""SELECT {SERIES}, "Date", "Time_Idx", "O2_umol_L", "Temp_C" FROM filled
+WHERE "Depth_m" IN (1, 4)""", "filled"))
+def series_table(spark, sf_dir):
+    """The weekly table stored by depth and sorted, and two depths of it read back."""
+    path = tables.scratch_path(spark, "weekly")
+    tables.write_series_table(R.weekly(spark, sf_dir), path)
+    stored = spark.read.parquet(path).where(F.col("Depth_m").isin(SURFACE, TARGET))
+    return stored.select(*KEYS, "Date", "Time_Idx", "O2_umol_L", "Temp_C")
+
+
 @query(sql(f"""SELECT {SERIES}, "Date", "Time_Idx", "O2_umol_L"
 FROM filled""", "filled"))
 def interp_on_grid(spark, sf_dir):
@@ -906,7 +987,7 @@ def metrics_by_horizon(spark, sf_dir):
     return _rounded_scores(evaluate.metrics_by_horizon(stored, by=["split"]))
 
 
-@query(sql(f"""SELECT coalesce(min(CASE WHEN roc_auc < 0.7 THEN horizon END) - 1, max(horizon))
+@query(sql(f"""SELECT coalesce(min(CASE WHEN roc_auc >= 0.7 THEN NULL ELSE horizon END) - 1, max(horizon))
        AS reliable_horizon
 FROM (SELECT horizon, {_AUC} AS roc_auc FROM ({_auc_sql("horizon")}))""", "forecasts"))
 def reliable_horizon(spark, sf_dir):

@@ -38,14 +38,16 @@ WEATHER_PARAMETERS = {
     "temperature_air_mean_2m": "Air_Temp_C",
 }
 
-# Covariates known ahead of time, and columns that are never model inputs.
+# Covariates known ahead of time, and columns that are never model inputs.
 KNOWN_COVARIATES = ("month_sin", "month_cos")
 NON_FEATURES = (TIME, DEPTH, TIME_INDEX, TARGET, WEIGHT, DEFICIT) + KNOWN_COVARIATES
+# Features that hold the target's own value or change.
+TARGET_DERIVED = ("Vertical_O2_Grad", "O2_Derivative_1W")
 
 
 @dataclass(frozen=True)
 class Tiers:
-    """Severity thresholds (strictly below counts) and the sample weight of each tier."""
+    """Severity thresholds (strictly below counts) and the sample weight of each tier; the defaults are fixed values."""
 
     watch: float = 80.0
     hypoxic: float = 60.0

@@ -300,8 +300,9 @@ def metrics_by_horizon(
 
 
 def largest_reliable_horizon(by_horizon: DataFrame, *, min_auc: float = 0.7) -> DataFrame:
-    """The last horizon before the first one whose AUC falls below ``min_auc``."""
-    failing = F.min(F.when(~below(F.lit(min_auc), F.col("roc_auc") + 1e-12), F.col("horizon")))
+    """The last horizon before the first one whose AUC falls below ``min_auc`` or is unknown."""
+    reached = F.coalesce(F.col("roc_auc") >= min_auc, F.lit(False))
+    failing = F.min(F.when(~reached, F.col("horizon")))
     return by_horizon.agg(failing.alias("_bad"), F.max("horizon").alias("_max")).select(
         F.coalesce(F.col("_bad") - 1, F.col("_max")).alias("reliable_horizon")
     )

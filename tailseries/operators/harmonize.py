@@ -52,9 +52,14 @@ def fill_missing(
     )
 
 
-def feature_columns(df: DataFrame, excluded: Sequence[str] = C.NON_FEATURES) -> list[str]:
-    """Model inputs: every column that is not a key, target, label or calendar column."""
-    skip = set(excluded) | {C.STATION}
+def feature_columns(
+    df: DataFrame, excluded: Sequence[str] = C.NON_FEATURES, *, target_feedback: bool = True
+) -> list[str]:
+    """Model inputs: every column that is not a key, target, label or calendar column.
+
+    Without ``target_feedback`` columns made from the target's own values go too.
+    """
+    skip = {*excluded, C.STATION, *(() if target_feedback else C.TARGET_DERIVED)}
     return [c for c in df.columns if c not in skip]
 
 

@@ -47,18 +47,29 @@ def join_weather(
     weather: DataFrame,
     *,
     by: Sequence[str] = (),
+    station_map: DataFrame | None = None,
     tolerance: timedelta = timedelta(days=C.ASOF_TOLERANCE_DAYS),
 ) -> DataFrame:
     """Nearest daily weather within the tolerance; rows without one keep NULLs.
 
-    Weather of several stations needs ``by``, columns of both tables: without it a row would get
-    the weather of whichever station is nearest in time. One station's weather, for all rows, comes
-    without a station column.
+    Weather of several stations needs either ``station_map``, which names for each ocean ``station_id`` the
+    ``weather_station`` that serves it, or ``by``, columns of both tables: without these a row would get the weather of
+    whichever station is nearest in time. An ocean station that the map lacks gets no weather; one that it
+    names twice is an error. One station's weather, for all rows, comes without a station column.
     """
-    if C.STATION in weather.columns and not by:
-        raise ValueError("weather has stations: name the columns to join by, or select one and drop its column")
     values = present(weather, C.WEATHER_VALUES)
-    return asof_nearest(ocean, weather, value_cols=values, by=by, tolerance=tolerance)
+    if station_map is None:
+        if C.STATION in weather.columns and not by:
+            raise ValueError("weather has stations: give a station map, name columns to join by, or drop the column")
+        return asof_nearest(ocean, weather, value_cols=values, by=by, tolerance=tolerance)
+    served = station_map.select(F.col(C.STATION), F.col("weather_station").alias("_served")).distinct()
+    twice = served.groupBy(C.STATION).count().where(F.col("count") > 1).select(C.STATION).limit(5).collect()
+    if twice:
+        raise ValueError(f"several weather stations for {sorted(str(r[0]) for r in twice)}")
+    placed = ocean.join(served, C.STATION, "left")
+    offered = weather.withColumnRenamed(C.STATION, "_served")
+    joined = asof_nearest(placed, offered, value_cols=values, by=["_served", *by], tolerance=tolerance)
+    return joined.select(*ocean.columns, *values)
 
 
 def prepare_weekly(

@@ -40,10 +40,15 @@ def train(
     parameters: Mapping[str, float] | None = None,
     features: Sequence[str] | None = None,
     tiers: C.Tiers = C.TIERS,
+    target_feedback: bool = False,
 ) -> TrainingRun:
-    """Train on the earlier part of ``labelled`` and write everything below ``path``."""
+    """Train on the earlier part of ``labelled`` and write everything below ``path``.
+
+    Inputs are ``features``, or else every feature column; those made from the target's own values are left out
+    unless ``target_feedback`` asks for them.
+    """
     settings = {**DEFAULT_HYPERPARAMETERS, **(parameters or {})}
-    features = list(features) if features is not None else feature_columns(labelled)
+    features = list(features) if features is not None else feature_columns(labelled, target_feedback=target_feedback)
     split = chronological_split(labelled, ratio=ratio, tie_cols=keys)
     split = split.persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -115,3 +115,27 @@ def test_weather_of_stations_needs_a_key(spark):
         join_weather(ocean, weather)
     got = join_weather(ocean, weather, by=["station_id"]).collect()
     assert {r.station_id: r[C.WEATHER_VALUES[0]] for r in got} == {"a": 1.0, "b": 9.0}
+
+
+def test_station_map_gives_each_ocean_station_its_own_weather(spark):
+    from tailseries.plans.prepare import join_weather
+
+    ocean = spark.createDataFrame(
+        [("o1", ts(5), 1), ("o2", ts(5), 2), ("o3", ts(5), 3), ("o4", ts(20), 4), (None, ts(5), 5)],
+        "station_id STRING, Date TIMESTAMP, _served INT",
+    ).withColumnRenamed("_served", "id")
+    weather = spark.createDataFrame(
+        [("w1", ts(4), 10.0), ("w2", ts(6), 20.0), ("w2", ts(5, hours=1), 25.0)],
+        "station_id STRING, Date TIMESTAMP, Air_Temp_C DOUBLE",
+    )
+    served = spark.createDataFrame(
+        [("o1", "w1"), ("o2", "w2"), ("o2", "w2"), ("o4", "w1"), ("o9", "w2")], "station_id STRING, weather_station STRING"
+    )
+    got = {r.id: r.Air_Temp_C for r in join_weather(ocean, weather, station_map=served).collect()}
+    assert got == {1: 10.0, 2: 25.0, 3: None, 4: None, 5: None}
+    assert join_weather(ocean, weather, station_map=served).columns == ["station_id", "Date", "id", "Air_Temp_C"]
+    with pytest.raises(ValueError, match="station map"):
+        join_weather(ocean, weather)
+    double = served.union(spark.createDataFrame([("o1", "w2")], served.schema))
+    with pytest.raises(ValueError, match="o1"):
+        join_weather(ocean, weather, station_map=double)

@@ -175,6 +175,9 @@ def test_feature_lists(spark):
         "Temp_C DOUBLE, month_sin DOUBLE, sample_weight DOUBLE"
     )
     assert harmonize.feature_columns(df) == ["Temp_C"]
+    made = df.withColumns({c: F.lit(0.0) for c in C.TARGET_DERIVED})
+    assert harmonize.feature_columns(made) == ["Temp_C", *C.TARGET_DERIVED]
+    assert harmonize.feature_columns(made, target_feedback=False) == ["Temp_C"]
     assert harmonize.present(df, ["NO3", "Temp_C"]) == ["Temp_C"]
 
 
