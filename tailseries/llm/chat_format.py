@@ -137,7 +137,8 @@ def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 def _format(tokenizer: str | None, budget: int, history: int, size: int = 4 << 20):
     def run(batches: Iterator[pa.RecordBatch]):
         count = _counter(tokenizer)
-        overhead = count(TURN + "\n" + END + "\n")
+        close = count(END + "\n")
+        heads: dict[str, int] = {}
         current: _Conversation | None = None
         rows: list[tuple] = []
         held, kind = 0, pa.int64()
@@ -149,14 +150,14 @@ def _format(tokenizer: str | None, budget: int, history: int, size: int = 4 << 2
                         rows.append(done)
                         held += len(done[2])
                     current = _Conversation(key, budget, history)
-                role, text = role or "", text or ""
-                done = current.add(
-                    f"{TURN}{escape_role(role)}\n",
-                    escape(text),
-                    role == "assistant",
-                    count(role) + count(text) + overhead,
-                    role == "system",
-                )
+                role = role or ""
+                head, body = f"{TURN}{escape_role(role)}\n", escape(text or "")
+                if head not in heads:
+                    heads = heads if len(heads) < 1000 else {}
+                    heads[head] = count(head)
+                # What is written counts, not what was said: escapes cost tokens.
+                tokens = heads[head] + count(body) + close
+                done = current.add(head, body, role == "assistant", tokens, role == "system")
                 if done:
                     rows.append(done)
                     held += len(done[2])
@@ -189,7 +190,7 @@ def format_windows(
     their own. Null roles and texts are empty; rows with a null id are one conversation. Only a first
     turn of role system is repeated. A turn that is longer than the budget is a window of its own with the
     system turn, whole. An empty table gives no windows. ``tokenizer`` is a file on every executor, or
-    None to count bytes. Rows are partitioned by conversation and come in order within a partition.
+    None to count a quarter of the bytes. Rows are partitioned by conversation and come in order within a partition.
     """
     ship(turns.sparkSession)
     kind = dict(turns.dtypes)[conv_col]

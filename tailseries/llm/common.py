@@ -7,16 +7,14 @@ from the bytes, and the same on every machine.
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tailseries.packaging import ship  # noqa: F401 - for the operators
 from tailseries.sources.tables import staged
 
 PIECE = 1 << 20
@@ -66,7 +64,7 @@ class Rolling:
         return mix((prefix[ends] - prefix[starts]) * self.down[starts] + (ends - starts).astype(U64))
 
 
-_BYTES = Rolling(0x9E3779B97F4A7C15)
+_PLACE = U64(0x9E3779B97F4A7C15)
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
 
 
@@ -114,14 +112,25 @@ def row_groups(offsets: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, in
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of ascending byte spans, computed in pieces so that memory stays in proportion to PIECE."""
+    """Hashes of ascending byte spans, computed in pieces so that memory stays in proportion to PIECE.
+
+    A byte's value is scrambled with its place in the span before values are added up. (A polynomial
+    with an odd base modulo 2**64 has long words of two letters that hash alike by construction.)
+    """
     out = np.empty(len(starts), U64)
     lo = 0
     while lo < len(starts):
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + PIECE, "right")))
         base = starts[lo]
-        prefix = _BYTES.prefix(_BYTE_VALUES[data[base : ends[hi - 1]]])
-        out[lo:hi] = _BYTES.ranges(prefix, starts[lo:hi] - base, ends[lo:hi] - base)
+        first, last = starts[lo:hi] - base, ends[lo:hi] - base
+        part = data[base : ends[hi - 1]]
+        place = np.arange(len(part), dtype=U64)
+        place -= np.repeat(first, np.diff(np.append(first, len(part)))).astype(U64)
+        place *= _PLACE
+        place += _BYTE_VALUES[part]
+        sums = np.zeros(len(part) + 1, U64)
+        np.cumsum(mix(place), out=sums[1:])
+        out[lo:hi] = mix((sums[last] - sums[first]) + (last - first).astype(U64))
         lo = hi
     return out
 
@@ -187,10 +196,17 @@ def grouped(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
-    """Two longs that tell rows apart, except rows equal in id and text; null ids are allowed."""
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_k1"), F.xxhash64(
-        F.coalesce(F.col(text_col), F.lit(""))
-    ).alias("_k2")
+    """Two longs that tell rows apart, except rows equal in id and text; null ids are allowed.
+
+    The first is a whole-number id itself, which keeps its order, or a hash of any other id.
+    """
+    key, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
+    whole = F.typeof(key).isin("tinyint", "smallint", "int", "bigint")
+    name = F.when(whole, key.try_cast("long")).otherwise(F.xxhash64(key.cast("string")))
+    return (
+        F.when(key.isNull(), F.lit(-(1 << 63))).otherwise(name).alias("_k1"),
+        F.xxhash64(text, key.isNull()).alias("_k2"),
+    )
 
 
 def text_bytes(docs: DataFrame, text_col: str) -> int:
@@ -198,23 +214,6 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once in an application; they may not have it installed."""
-    context = spark.sparkContext
-    if context.applicationId not in _SHIPPED:
-        root = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        context.addPyFile(str(target))
-        _SHIPPED.add(context.applicationId)
-    return spark
-
-
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Written below spark.checkpoint.dir and read again, so that it is computed once."""
     return staged(df, name)

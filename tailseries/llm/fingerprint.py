@@ -2,10 +2,14 @@
 
 The lexicon holds the terms whose document frequency lies in a band of inverse document frequency.
 It is counted over all documents and has at most (distinct terms of a mean document) / ``least``
-terms, whatever their number, which bounds what is broadcast. There are SUBSETS random orders of it. In each
-the lexicon is halved again and again; a document takes the smallest half that still has one of its
-terms and hashes its distinct terms in that half. Short and long documents so have as telling hashes.
-A fingerprint is the hashes in order; the likeness of two is the share that agree.
+terms, whatever their number, which bounds what is broadcast. SUBSETS random sub-lexicons of it are drawn once, by DRAWS
+seeded hashes of each term: every draw gives one with all terms, one with half of them, and so on down to one part
+in 2 ** (LEVELS - 1), so that short and long documents alike meet sub-lexicons of which they have few terms.
+
+A document's fingerprint has one hash for each sub-lexicon, the smallest first: that of its distinct terms in it, sorted.
+Where it has none the place is empty (0). The likeness of two fingerprints is the share of equal hashes among the
+first PLACES that at least one of them fills, which are those of few terms; with nothing to go by it is 0, unless
+both texts have no words at all.
 """
 
 from __future__ import annotations
@@ -21,12 +25,16 @@ from pyspark.sql import DataFrame, functions as F
 from tailseries.llm.common import U64, mix, pieces, row_key, ship, text_bytes
 from tailseries.llm.language_id import HashArray
 
-SUBSETS = 64
+DRAWS, LEVELS = 8, 12
+SUBSETS = DRAWS * LEVELS
+PLACES = 24
+#: The fingerprint of a text without words.
+NOTHING = 1
 LEAST, MOST = 0.0005, 0.02
 PART_BYTES = 16 << 20
 #: A row's range is looked up in a list of this many bounds at most.
 PARTS = 4096
-_SEEDS = mix(np.arange(1, SUBSETS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
+_SEEDS = mix(np.arange(1, DRAWS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
 
 
 def _terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -77,32 +85,33 @@ def lexicon(docs: DataFrame, *, text_col: str = "text", least: float = LEAST, mo
 
 
 def fingerprints(column: pa.Array, words: HashArray) -> np.ndarray:
-    """A row of SUBSETS hashes for each text; zeros for a text without words."""
+    """A row of SUBSETS hashes for each text, 0 where it has no term of the sub-lexicon; NOTHING for one without words."""
     out = np.zeros((len(column), SUBSETS), np.uint16)
     for lo, hi, h, row in _terms(column):
+        out[lo:hi][np.bincount(row, minlength=hi - lo) == 0] = NOTHING
         known = words.find(h) >= 0
-        # A text with no term of the lexicon is judged by all its words.
-        some = np.bincount(row[known], minlength=hi - lo) > 0
-        use = known | ~some[row]
-        h, row = h[use], row[use]
-        if not len(h):
-            continue
-        begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        where = np.cumsum(np.concatenate([[0], (row[1:] != row[:-1]).astype(np.int64)]))
-        for s in range(SUBSETS):
-            order = mix(h ^ _SEEDS[s])
-            low = np.minimum.reduceat(order, begins)
-            # All bits from the first one set in the smallest value: its half of the lexicon.
-            for step in (1, 2, 4, 8, 16, 32):
-                low = low | (low >> U64(step))
-            inside = order <= low[where]
-            total = np.add.reduceat(np.where(inside, mix(order), U64(0)), begins)
-            out[lo + row[begins], s] = (mix(total) >> U64(48)).astype(np.uint16) | np.uint16(1)
+        h, row = h[known], row[known]
+        for s in range(DRAWS):
+            drawn = mix(h ^ _SEEDS[s])
+            for halvings in range(LEVELS):
+                # Terms of a text come sorted by hash, so a sum with their places is a hash of the sorted sequence.
+                inside = drawn >> U64(64 - halvings) == 0 if halvings else np.ones(len(h), bool)
+                of, term = row[inside], drawn[inside]
+                if not len(of):
+                    break
+                begins = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                place = np.arange(len(of)) - np.repeat(begins, np.diff(np.append(begins, len(of))))
+                total = mix(np.add.reduceat(mix(term + place.astype(U64)), begins))
+                at = (LEVELS - 1 - halvings) * DRAWS + s
+                out[lo + of[begins], at] = np.maximum((total >> U64(48)).astype(np.uint16), 2)
     return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).mean(axis=1)
+    """Share of equal hashes among the first PLACES that either fills, by row."""
+    filled = (a != 0) | (b != 0)
+    filled &= np.cumsum(filled, 1) <= PLACES
+    return (filled & (a == b)).sum(1) / np.maximum(filled.sum(1), 1)
 
 
 def _hex(prints: np.ndarray) -> pa.Array:
@@ -193,7 +202,8 @@ def _only(shared):
 def fingerprint(docs: DataFrame, words: HashArray, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and fingerprint (SUBSETS groups of four hex digits) of every row.
 
-    A text without words, null ones too, is all zeros. Rows do not depend on each other: equal texts have equal
+    Texts without words, null ones too, share a fingerprint of their own; one without a term of the lexicon is
+    all zeros and like no other. Rows do not depend on each other: equal texts have equal
     fingerprints, and repeated rows and null ids need no rule. Other columns are not read.
     """
     shared = ship(docs.sparkSession).sparkContext.broadcast(words)

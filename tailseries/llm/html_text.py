@@ -35,21 +35,35 @@ _HINTS = frozenset(
     "alert popup modal overlay comment comments disqus respond replies newsletter subscribe signup login search "
     "share sharing social related recommended recommendations widget pagination pager copyright skip toolbar".split()
 )
+#: Parts of a class name that say nothing by themselves.
+_NEUTRAL = frozenset(
+    "site page main top bottom left right inner outer box block bar area wrapper wrap container section list item "
+    "items panel row col column group links link text icon icons buttons button form global primary secondary fixed".split()
+)
+#: Only elements that hold others are judged by their class names, and none inside the main element that holds text.
+_CONTAINERS = frozenset("div section ul ol dl table tbody tr td span a p figure center".split())
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr tbody figcaption span a".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _MAIN = frozenset(("article", "main"))
 _SECTION = frozenset("body div section td center dd blockquote details".split())
 
 
-def _tokens(value: str) -> list[str]:
-    return value.lower().replace("_", " ").replace("-", " ").split()
+def _names_furniture(value: str) -> bool:
+    """Whether one of the names in a class or id consists of hints, and perhaps neutral parts, only."""
+    for name in value.lower().split():
+        parts = [p for p in name.replace("_", "-").split("-") if p]
+        if any(p in _HINTS for p in parts) and all(p in _HINTS or p in _NEUTRAL or p.isdigit() for p in parts):
+            return True
+    return False
 
 
-def _unwanted(tag: str, attrs: list) -> bool:
+def _unwanted(tag: str, attrs: list, inside: bool) -> bool:
+    """Whether an element is no content by its tag, role, state or, of containers, its names."""
     if tag in _DROPPED:
         return True
     for name, value in attrs:
         if name in ("class", "id"):
-            if value and tag not in ("html", "body", "article", "main") and not _HINTS.isdisjoint(_tokens(value)):
+            if value and tag in _CONTAINERS and not (inside and tag in _TEXT) and _names_furniture(value):
                 return True
         elif name == "role":
             if value and value.strip().lower() in _ROLES:
@@ -71,6 +85,26 @@ class _Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = 0
         self.elements = 0
+        #: How many open elements are main ones, and how many a new article ends.
+        self.main = self.ended = 0
+        #: Places in the stack of the open elements of each name.
+        self.open: dict[str, list[int]] = {}
+
+    def _push(self, tag: str, dropped: bool, element: int) -> None:
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, dropped, element))
+        self.main += tag in _MAIN
+        self.ended += tag in _ENDED_BY_ARTICLE
+
+    def _pop(self) -> None:
+        tag = self.stack.pop()[0]
+        self.open[tag].pop()
+        self.main -= tag in _MAIN
+        self.ended -= tag in _ENDED_BY_ARTICLE
+
+    def _cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            self._pop()
 
     def _state(self) -> tuple[bool, int]:
         return self.stack[-1][1:] if self.stack else (False, 0)
@@ -95,35 +129,35 @@ class _Lines(HTMLParser):
             if not attrs and not (self.stack and self.stack[-1][1]):
                 return
             dropped, element = self._state()
-            if dropped or _unwanted(tag, attrs):
+            if dropped or _unwanted(tag, attrs, self.main > 0):
                 if not dropped:
                     self.end_line()
-                self.stack.append((tag, True, element))
+                self._push(tag, True, element)
             return
         self.end_line()
         self.tags = 1
         if tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):
             self._pop_open(tag)
         elif tag in _MAIN or tag == "body":
-            while self.stack and any(s[0] in _ENDED_BY_ARTICLE for s in self.stack):
-                self.stack.pop()
+            while self.stack and self.ended:
+                self._pop()
         dropped, element = self._state()
-        inside = any(s[0] in _MAIN for s in self.stack)
+        inside = self.main > 0
         if tag == "header" and inside and not dropped:
             pass
         elif not dropped:
-            dropped = _unwanted(tag, attrs)
+            dropped = _unwanted(tag, attrs, inside)
         if tag in _MAIN and not inside or tag in _SECTION and not inside:
             self.elements += 1
             element = self.elements
-        self.stack.append((tag, dropped, element))
+        self._push(tag, dropped, element)
 
     def _pop_open(self, tag: str) -> None:
         """A p ends an open p, a li an open li, unless a container lies between."""
         for i in range(len(self.stack) - 1, -1, -1):
             name = self.stack[i][0]
             if name == tag:
-                del self.stack[i:]
+                self._cut(i)
                 return
             if name not in _INLINE and name not in ("p", "dt", "dd", "td", "th"):
                 return
@@ -134,18 +168,21 @@ class _Lines(HTMLParser):
             if self.stack and self.stack[-1][0] == tag:
                 if self.stack[-1][1] and not (len(self.stack) > 1 and self.stack[-2][1]):
                     self.end_line()
-                self.stack.pop()
+                self._pop()
             return
         if tag == "br":
             self.parts.append(" ")
             return
         self.end_line()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                break
-            if self.stack[i][0] in _MAIN and tag not in _MAIN and tag not in ("body", "html"):
-                break
+        at = self.open.get(tag)
+        if not at:
+            return
+        if tag not in _MAIN and tag not in ("body", "html"):
+            # No end tag from inside a main element ends one outside of it.
+            mains = [self.open[m][-1] for m in _MAIN if self.open.get(m)]
+            if mains and max(mains) > at[-1]:
+                return
+        self._cut(at[-1])
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)

@@ -1,11 +1,11 @@
 """Mixing sources to target weights by fitting a subset sum of document lengths.
 
 A source's target is met by whole rounds over its documents and a remainder. Of the remainder, each
-length first gives its proportional number of documents; what is then missing is fitted by a bounded
-knapsack over the lengths still left, so that the words taken equal the rounded target whenever some
-choice of lengths does. Only counts by (source, length) go to the fit; which documents of a length
-are chosen follows from a seeded hash, counted in 64 ranges of the hash so that no length is ranked
-in one piece.
+length first gives its proportional number of documents, rounded down. Of the shortest documents, up to RESERVE words,
+none is taken at first; longer ones are added until half of that reserve would do, and a bounded knapsack over
+the reserve then takes the sum nearest to what is missing, from below or above. Where all choices of documents are
+few, all are tried. Only counts by (source, length) go to the fit; which documents of a length are chosen follows from a
+seeded hash, counted in 64 ranges of the hash so that no length is ranked in one piece.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tailseries.llm.common import pieces, row_key, scratch, ship
 
 CAP = 3
-#: Words up to which the knapsack is solved exactly; larger gaps are first filled from the longest documents.
-EXACT = 1 << 15
+#: Sums that a knapsack keeps apart, and words of the shortest documents that it chooses from in the end.
+SUMS, RESERVE = 1 << 16, 1 << 14
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]):
@@ -84,72 +84,106 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     )
 
 
-def _knapsack(lengths: np.ndarray, left: np.ndarray, gap: int) -> np.ndarray:
-    """Bounded knapsack over sums 0..gap: how many of each length make the largest sum that can be made."""
+def _nearest(sums: np.ndarray, goal: int) -> int:
+    """Place of the sum nearest to the goal; ties go to the one below."""
+    return int(np.argmin(np.abs(sums - goal) * 2 + (sums > goal)))
+
+
+def _every(lengths: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
+    """The choice whose sum is nearest to the goal, from all choices."""
+    sums = np.zeros(1, np.int64)
+    for length, n in zip(lengths, counts):
+        sums = (sums[:, None] + length * np.arange(n + 1)).ravel()
+    at = _nearest(sums, goal)
     taken = np.zeros(len(lengths), np.int64)
-    # The step by which each sum was first reached.
-    reached = np.zeros(gap + 1, bool)
-    reached[0] = True
-    via = np.full(gap + 1, -1, np.int64)
+    for i in range(len(lengths) - 1, -1, -1):
+        at, taken[i] = divmod(at, int(counts[i]) + 1)
+    return taken
+
+
+def _knapsack(lengths: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
+    """Bounded knapsack: how many of each length make a sum next to the goal, below or above.
+
+    A sum beyond twice the goal is farther from it than none, so the table ends there. Each of its cells holds
+    the first sum found in it; where SUMS cells are enough they are one word wide, and the nearest sum is found.
+    """
+    unit = 2 * goal // SUMS + 1
+    cells = 2 * goal // unit + 1
+    sums = np.full(cells, -1, np.int64)
+    via = np.full(cells, -1, np.int64)
+    sums[0] = 0
     steps: list[tuple[int, int]] = []
-    for i in np.flatnonzero((left > 0) & (lengths > 0) & (lengths <= gap)):
-        n, part = min(int(left[i]), gap // int(lengths[i])), 1
-        while n and not reached[gap]:
+    for i in np.flatnonzero((counts > 0) & (lengths > 0) & (lengths <= 2 * goal))[::-1]:
+        n, part = min(int(counts[i]), 2 * goal // int(lengths[i])), 1
+        while n and sums[goal // unit] != goal:
             part = min(part, n)
             weight = part * int(lengths[i])
-            new = np.flatnonzero(reached[: gap + 1 - weight] & ~reached[weight:]) + weight
-            reached[new] = True
-            via[new] = len(steps)
+            known = np.flatnonzero(sums >= 0)
+            new = sums[known] + weight
+            known, new = known[new <= 2 * goal], new[new <= 2 * goal]
+            cell = new // unit
+            free = sums[cell] < 0
+            # Of several sums for one cell the last one stays; any of them will do.
+            sums[cell[free]] = new[free]
+            via[cell[free]] = len(steps)
             steps.append((i, part))
             n -= part
             part *= 2
-        if reached[gap]:
-            break
-    at = int(np.flatnonzero(reached)[-1])
+    known = np.flatnonzero(sums >= 0)
+    at = int(known[_nearest(sums[known], goal)])
+    taken = np.zeros(len(lengths), np.int64)
     while at:
         i, part = steps[via[at]]
         taken[i] += part
-        at -= part * int(lengths[i])
+        at = (int(sums[at]) - part * int(lengths[i])) // unit
     return taken
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length, ascending, to take so that their words come nearest to, not over, the budget."""
+    """How many documents of each length, ascending, to take so that their words come near the budget.
+
+    The nearest sum there is, from either side, where all choices are at most SUMS; otherwise the nearest that
+    the reserve of short documents makes beside the longer ones. Ties go to the sum below.
+    """
     total = int((lengths * counts).sum())
-    taken = np.zeros(len(lengths), np.int64)
     if budget <= 0 or not total:
-        return taken
+        return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.copy()
-    share = counts * (budget / total)
-    taken = np.minimum(np.floor(share).astype(np.int64), counts)
-    gap = budget - int((taken * lengths).sum())
-    # One more of the lengths that lost most by rounding down, as far as they fit.
-    order = np.lexsort((lengths, taken - share))
-    order = order[taken[order] < counts[order]]
-    fits = np.cumsum(lengths[order]) <= gap
-    taken[order[fits]] += 1
-    gap = budget - int((taken * lengths).sum())
-    left = counts - taken
-    for i in np.argsort(-lengths, kind="stable"):
-        if gap <= EXACT:
+    if np.log2(counts + 1.0).sum() <= np.log2(SUMS):
+        return _every(lengths, counts, budget)
+
+    def off(taken: np.ndarray) -> int:
+        return budget - int((taken * lengths).sum())
+
+    before = np.concatenate([[0], np.cumsum(lengths * counts)[:-1]])
+    reserve = np.where(
+        lengths > 0, np.clip((RESERVE - before) // np.maximum(lengths, 1), 0, counts), 0
+    )
+    kept = int((reserve * lengths).sum())
+    others = counts - reserve
+    plain = np.minimum(np.floor(others * (budget / total)).astype(np.int64), others)
+    best = np.zeros(len(lengths), np.int64)
+    for coarse in (False, True):
+        taken = plain.copy()
+        goal = off(taken) - kept // 2
+        if goal > 0 and coarse:
+            taken += _knapsack(lengths, others - plain, goal)
+        elif goal > 0:
+            for i in np.argsort(-lengths, kind="stable"):
+                n = min(int(others[i] - taken[i]), goal // int(lengths[i])) if lengths[i] else 0
+                taken[i] += n
+                goal -= n * int(lengths[i])
+        missing = off(taken)
+        if missing >= kept:
+            taken = taken + reserve
+        elif missing > 0:
+            taken = taken + _knapsack(lengths, reserve, missing)
+        if abs(off(taken)) < abs(off(best)):
+            best = taken
+        if not off(best):
             break
-        n = min(int(left[i]), gap // int(lengths[i])) if lengths[i] else 0
-        taken[i] += n
-        left[i] -= n
-        gap -= n * int(lengths[i])
-    if gap > EXACT:
-        return taken
-    taken += _knapsack(lengths, left, gap)
-    gap = budget - int((taken * lengths).sum())
-    if gap:
-        # Few documents are left to choose from: the shortest taken ones, to EXACT words, are chosen anew.
-        back = np.where(np.cumsum(taken * lengths) + gap <= EXACT, taken, 0)
-        again = taken - back
-        again += _knapsack(lengths, counts - again, budget - int((again * lengths).sum()))
-        if ((again - taken) * lengths).sum() > 0:
-            taken = again
-    return taken
+    return best
 
 
 def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -243,15 +277,15 @@ def mixed(
     """The mix itself: the rows of ``docs``, all columns, that it takes, and how many copies of each.
 
     A document without words counts for nothing and is left out. Rows equal in id and text are told apart
-    by counting them, so that each gets one of their decisions.
+    by counting them, so that each gets one of their decisions. A column named copies before is replaced.
     """
     nth = F.row_number().over(W.partitionBy("_k1", "_k2").orderBy(F.lit(0))).alias("_nth")
     chosen = _chosen(docs, id_col, text_col, source_col, seed).select("_k1", "_k2", "copies", nth)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return (
+    kept = [c for c in docs.columns if c != "copies"]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row")
+    met = (
         docs.select(*row_key(id_col, text_col), row)
         .select("_k1", "_k2", "_row", nth)
         .join(chosen.where("copies > 0"), ["_k1", "_k2", "_nth"])
-        .select("_row.*", F.col("copies").alias("_copies"))
-        .withColumnRenamed("_copies", "copies")
     )
+    return met.select(*[F.col("_row").getField(c).alias(c) for c in kept], "copies")

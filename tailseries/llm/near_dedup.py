@@ -1,16 +1,17 @@
 """MinHash near-dedup by an inverted join over signature coordinates.
 
 Documents are sets of word shingles; equal sets are one node from the start. A node's signature has
-COORDINATES minimum hashes. Two nodes whose similarity reaches the threshold agree in MATCHES of them
-but for about one pair in 10^5 that lies exactly on the threshold, and so share one of the
-COORDINATES - MATCHES + 1 rarest coordinate-value pairs of each (prefix filter). Nodes are posted under
+COORDINATES minimum hashes. Two nodes whose similarity reaches the threshold agree in ``matches`` of them
+but for a share of MISS of the pairs that lie exactly on the threshold, and so share one of the
+COORDINATES - ``matches`` + 1 rarest coordinate-value pairs of each (prefix filter). Both numbers of matches
+follow from the threshold. Nodes are posted under
 those; values that one node has need no posting.
 
 1. Each posting list joins its members to one pivot, its most typical member. These pairs are confirmed
    on full sets. In a group of copies nearly all members meet here, without pairs among them.
 2. Lists whose members are still in different components are merged in blocks: collisions of members of
-   different components are counted, each pair under its first shared posting only. Pairs with MATCHES
-   or more are counted on over FINE further coordinates of 8 bits, and those with FINE_MATCHES in all
+   different components are counted, each pair under its first shared posting only. Pairs with enough
+   are counted on over FINE further coordinates of 8 bits, and those with enough in all
    name a node and the component it may belong to.
 3. Each such node is confirmed on full sets against all members of that component, in blocks.
 
@@ -21,6 +22,7 @@ any size are processed in blocks of fixed size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +30,25 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tailseries.llm.common import U64, Rolling, mix, packed, pieces, row_key, scratch, ship, unpacked
 
-COORDINATES, MATCHES = 40, 17
-FINE, FINE_MATCHES = 216, 160
+COORDINATES, FINE = 40, 216
+#: Share of the pairs exactly on the threshold that have fewer matches than asked for.
+MISS = 4e-6
 BLOCK = 256
 LIST_BLOCK = 1024
 _WORDS = Rolling(0xC2B2AE3D27D4EB4F)
 _SEEDS = mix(np.arange(1, COORDINATES + FINE + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
+def matches(percent: int, coordinates: int) -> int:
+    """The most matches that pairs of this similarity have in all but a share of MISS of cases; 1 at least."""
+    s, left = percent / 100, 0.0
+    for m in range(coordinates + 1):
+        left += comb(coordinates, m) * s**m * (1 - s) ** (coordinates - m)
+        if left > MISS:
+            return max(1, m)
+    return coordinates
+
+
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows lo to hi, all their distinct shingles (rising within a row), and how many each row has.
 
@@ -114,7 +127,7 @@ def _coordinates(batches: Iterator[pa.RecordBatch]):
         )
 
 
-def postings(nodes: DataFrame) -> DataFrame:
+def postings(nodes: DataFrame, percent: int) -> DataFrame:
     """node, k, v: each node under its rarest shared coordinate-value pairs; weight: how typical it is."""
     coordinates = nodes.select("node", "signature").mapInArrow(_coordinates, "node long, k int, v int")
     shared = coordinates.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
@@ -124,7 +137,7 @@ def postings(nodes: DataFrame) -> DataFrame:
     return (
         posted.groupBy("node")
         .agg(F.sort_array(F.collect_list(entry)).alias("all"), F.sum(F.log("n")).alias("weight"))
-        .withColumn("kept", F.size("all") - (MATCHES - 1))
+        .withColumn("kept", F.size("all") - (matches(percent, COORDINATES) - 1))
         .where("kept > 0")
         .select("node", "weight", F.explode(F.slice("all", F.lit(1), F.col("kept"))).alias("e"))
         .select("node", "weight", "e.k", "e.v")
@@ -162,8 +175,17 @@ def _confirm_pairs(width: int, percent: int):
     return run
 
 
-def _merge_lists(table: pa.Table) -> pa.Table:
+def _merge_lists(percent: int):
     """Nodes of smaller components and the larger components that they may belong to, within a list."""
+    least, least_of_all = matches(percent, COORDINATES), matches(percent, COORDINATES + FINE)
+
+    def run(table: pa.Table) -> pa.Table:
+        return _met(table, least, least_of_all)
+
+    return run
+
+
+def _met(table: pa.Table, least: int, least_of_all: int) -> pa.Table:
     table = table.combine_chunks()
     signature = unpacked(table.column("signature"), np.uint32).reshape(-1, COORDINATES)
     fine = unpacked(table.column("fine"), np.uint8).reshape(-1, FINE)
@@ -185,8 +207,8 @@ def _merge_lists(table: pa.Table) -> pa.Table:
         # A pair belongs to the first list in which both are posted.
         first = (equal & posted[other] & posted[i]).argmax(axis=1)
         same = equal.sum(axis=1)
-        near = np.flatnonzero((same >= MATCHES) & (first == k))
-        near = near[same[near] + (fine[other[near]] == fine[i]).sum(axis=1) >= FINE_MATCHES]
+        near = np.flatnonzero((same >= least) & (first == k))
+        near = near[same[near] + (fine[other[near]] == fine[i]).sum(axis=1) >= least_of_all]
         for j in other[near]:
             small, large = (i, j) if (size[i], own[i]) < (size[j], own[j]) else (j, i)
             found.add((int(node[small]), int(own[large]), int(size[large])))
@@ -271,7 +293,7 @@ def _grown(found: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_links(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """node, component of all linked nodes. nodes: node, signature, _k1, _k2; texts: _k1, _k2, _text."""
-    lists = scratch(postings(nodes), "postings")
+    lists = scratch(postings(nodes, percent), "postings")
     pivot = (
         lists.groupBy("k", "v")
         .agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("m"))
@@ -334,7 +356,7 @@ def near_links(nodes: DataFrame, texts: DataFrame, width: int, percent: int) ->
     )
     asked = scratch(
         met.groupBy("k", "v", "i", "j")
-        .applyInArrow(_merge_lists, "node long, component long, size long")
+        .applyInArrow(_merge_lists(percent), "node long, component long, size long")
         .distinct()
         .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")),
         "asked",
@@ -363,6 +385,8 @@ def near_links(nodes: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Every row's _id, _k1, _k2 and its results (see near_dedup)."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     ship(docs.sparkSession)
     k1, k2 = row_key(id_col, text_col)
     texts = docs.select(F.col(id_col).alias("_id"), k1, k2, F.col(text_col).alias("_text"))

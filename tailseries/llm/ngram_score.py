@@ -251,8 +251,10 @@ def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A to Z folded. One row per input row. Texts without words,
     null ones too, have log_score 0 and no mean. Repeated rows count as often as they occur. Ids must
-    be whole numbers; null ids stay null. An empty table gives no rows.
+    be whole numbers, others are an error; null ids stay null. An empty table gives no rows.
     """
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must be a whole number")
     spark = ship(docs.sparkSession)
     k1, k2 = row_key(id_col, text_col)
     texts = docs.select(k1, k2, F.col(text_col).alias("_text"))
@@ -311,9 +313,12 @@ def score_documents(
 ) -> DataFrame:
     """Log scores of any documents by given tables, backing off: id, n_words, log_score.
 
-    A word that the tables lack counts as seen once. Texts without words give no row.
+    A word that the tables lack counts as seen once. One row per input row: texts without words, null ones too,
+    have 0 words and log_score 0, and rows equal in id and text are scored once and given the same score.
+    Null ids stay null, ids may be of any type, and other columns are not read.
     """
-    placed = _positions(docs, id_col, text_col, order)
+    rows = docs.select(F.col(id_col).alias("_id"), *row_key(id_col, text_col))
+    placed = _positions(docs, id_col, text_col, order).drop("_id").dropDuplicates(["_k1", "_k2", "i"])
     score = None
     for n in range(order, 0, -1):
         history = F.lit("") if n == 1 else F.regexp_replace(F.col(f"g{n}"), r" [^ ]*$", "")
@@ -330,8 +335,9 @@ def score_documents(
         else:
             # A document's first words have no longer history: no backing off there.
             score = F.when(F.col("i") < n - 1, score).otherwise(F.coalesce(seen, F.log(F.lit(ALPHA)) + score))
-    return (
-        placed.groupBy("_id", "_k1", "_k2")
-        .agg(F.count("*").alias("n_words"), F.sum(score).alias("log_score"))
-        .select(F.col("_id").alias(id_col), "n_words", "log_score")
+    scored = placed.groupBy("_k1", "_k2").agg(F.count("*").alias("n_words"), F.sum(score).alias("log_score"))
+    return rows.join(scored, ["_k1", "_k2"], "left").select(
+        F.col("_id").alias(id_col),
+        F.coalesce("n_words", F.lit(0)).alias("n_words"),
+        F.coalesce("log_score", F.lit(0.0)).alias("log_score"),
     )

@@ -137,7 +137,7 @@ def _merge_block(log: int):
             {
                 "block": table.column("block").slice(0, 1),
                 "twice": pa.array([np.packbits(total >= 2).tobytes()], pa.binary()),
-                "hot": pa.array([np.flatnonzero(total >= HOT).astype(np.int64).tobytes()], pa.binary()),
+                "hot": pa.array([np.packbits(total >= HOT).tobytes()], pa.binary()),
             }
         )
 
@@ -145,35 +145,31 @@ def _merge_block(log: int):
 
 
 class _Sketch:
-    """The merged sketch: a bit per cell for two or more, and the cells that are hot."""
+    """The merged sketch: a bit per cell for two or more, and one for hot. Its size follows from ``log`` alone."""
 
     def __init__(self, rows, log: int):
         self.log = log
         block_log = _block_log(log)
         per_row = 1 << (log - block_log)
-        self.bits = np.zeros((2, (1 << log) >> 3), np.uint8)
-        hot: list[list[np.ndarray]] = [[], []]
+        self.bits = {kind: np.zeros((2, (1 << log) >> 3), np.uint8) for kind in ("twice", "hot")}
         for r in rows:
             row, block = divmod(r["block"], per_row)
             size = (1 << block_log) >> 3
-            self.bits[row, block * size : (block + 1) * size] = np.frombuffer(r["twice"], np.uint8)
-            hot[row].append(np.frombuffer(r["hot"], np.int64) + (block << block_log))
-        self.hot = [np.sort(np.concatenate(h)) if h else np.zeros(0, np.int64) for h in hot]
+            for kind, bits in self.bits.items():
+                bits[row, block * size : (block + 1) * size] = np.frombuffer(r[kind], np.uint8)
 
-    def twice(self, anchors: np.ndarray) -> np.ndarray:
+    def _set(self, kind: str, anchors: np.ndarray) -> np.ndarray:
         out = np.ones(len(anchors), bool)
         for row in (0, 1):
             c = _cells(anchors, row, self.log)
-            out &= (self.bits[row][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
+            out &= (self.bits[kind][row][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
         return out
 
+    def twice(self, anchors: np.ndarray) -> np.ndarray:
+        return self._set("twice", anchors)
+
     def often(self, anchors: np.ndarray) -> np.ndarray:
-        out = np.ones(len(anchors), bool)
-        for row in (0, 1):
-            c = _cells(anchors, row, self.log)
-            at = np.minimum(np.searchsorted(self.hot[row], c), max(0, len(self.hot[row]) - 1))
-            out &= self.hot[row][at] == c if len(self.hot[row]) else False
-        return out
+        return self._set("hot", anchors)
 
 
 _PART = "bucket int, salt int, runs binary, hashes binary"

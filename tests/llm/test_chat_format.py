@@ -62,3 +62,15 @@ def test_a_turn_beyond_the_budget_stays_whole(spark):
     windows = cf.format_windows(df, tokenizer=None, budget=100).orderBy("window").collect()
     assert [list(cf.read_turns(w.text)) for w in windows] == [[("user", "y" * 9000)], [("assistant", "z")]]
     assert cf.format_windows(df.where("turn > 5")).collect() == []
+
+
+def test_budget_counts_what_is_written(spark):
+    from tailseries.llm.chat_format import format_windows
+
+    rows = [(1, k, "user" if k % 2 else "assistant", "\\" * 60 + "<|x") for k in range(12)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS window", "'q' AS _id")
+    windows = format_windows(table, tokenizer=None, budget=150, history=40).collect()
+    assert len(windows) > 2
+    for w in windows:
+        # Heads, texts and ends are rounded up to whole tokens each.
+        assert len(w.text.encode()) <= 4 * w.n_tokens <= 600

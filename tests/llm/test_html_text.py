@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -21,6 +23,11 @@ LONG = "A sentence of the article that is long enough to be taken for content, w
         (f"<article><p>{LONG}</p><aside>{LONG}</aside><!-- no --><p>end</p>", f"{LONG} end"),
         (f"<nav><a href=x>menu<article><p>{LONG}</p></article>", LONG),
         ("<p>" + "w " * 200_000, ("w " * 200_000).strip()),
+        (f"<article><h1 class='article-header'>Head</h1><p class='social-history'>{LONG}</p>"
+         f"<div class='search-results-study'>{LONG}</div><p class=notice>Mind.</p></article>", f"Head {LONG} {LONG} Mind."),
+        (f"<article><p>{LONG}</p><div class='social-share'>Post it</div><ul class=related-links><li>more</ul></article>", LONG),
+        (f"<div class='cookie-notice'><p>{LONG}</p></div><div id=site-header>{LONG}</div><div><p>{LONG}</p></div>", LONG),
+        (f"<div><p>{LONG}</p></article></span></main></div><p>{LONG}", f"{LONG} {LONG}"),
     ],
 )
 def test_pages(html, text):
@@ -39,3 +46,13 @@ def test_table(spark):
 def test_smoothing_keeps_a_constant_and_spreads_a_peak():
     assert np.allclose(smooth(np.ones(9))[2:-2], 1)
     assert (np.diff(smooth(np.eye(1, 9, 4)[0])[2:5]) > 0).all()
+
+
+def test_time_grows_with_the_page_and_not_with_its_depth():
+    def seconds(n):
+        started = time.process_time()
+        assert main_text("<article>" + "<div>" * n + LONG + "</p>" * n) == LONG
+        return time.process_time() - started
+
+    seconds(1000)
+    assert seconds(40_000) < 20 * max(seconds(4000), 0.01)

@@ -47,8 +47,11 @@ def test_targets_and_takes(spark):
         assert all(0 <= r.taken <= 3 * r.size for r in mine)
     again = mix_to_targets(docs.repartition(7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
-    mix = mixed(docs.drop("copies"))
+    mix = mixed(docs)
+    assert mix.columns == ["doc_id", "text", "source", "size", "_key", "copies"]
     assert sum(r.copies for r in mix.collect()) == sum(r.copies for r in got)
+    named = docs.selectExpr("concat('d', doc_id) AS doc_id", "text", "source")
+    assert sum(r.taken for r in mix_to_targets(named).collect()) > 0
 
 
 def test_empty_table(spark):
@@ -65,7 +68,42 @@ def test_fit_is_as_near_as_any_choice_of_lengths(seed):
     taken = fit(lengths, counts, budget)
     assert (taken >= 0).all() and (taken <= counts).all()
     sums = {int((lengths * c).sum()) for c in itertools.product(*(range(c + 1) for c in counts))}
-    assert int((taken * lengths).sum()) == max(s for s in sums if s <= budget)
+    assert abs(int((taken * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_long_documents_are_fitted_from_either_side(seed):
+    rnd = random.Random(seed)
+    lengths = np.array(sorted(rnd.sample(range(1, 10**rnd.randint(2, 6) + 20), 12)))
+    budget = rnd.randint(0, int(lengths.sum()))
+    sums = [sum(c) for n in range(13) for c in itertools.combinations(lengths.tolist(), n)]
+    best = min(abs(s - budget) for s in sums)
+    assert abs(int((fit(lengths, np.ones(12, int), budget) * lengths).sum()) - budget) == best
+
+
+@pytest.mark.parametrize(
+    "lengths, counts, budget, words",
+    [
+        ([40_000, 50_000, 70_000], [1, 1, 1], 110_000, 110_000),
+        ([40_000, 50_000, 70_000], [1, 1, 1], 120_000, 120_000),
+        ([9, 360_000], [1, 1], 346_673, 360_000),
+        ([1, 360_000], [9, 1], 346_673, 360_000),
+        ([10], [1000], 5005, 5000),
+        ([7, 1_000_003], [50_000, 900], 123_456_789, 123_350_369),
+    ],
+)
+def test_known_fits(lengths, counts, budget, words):
+    lengths = np.array(lengths)
+    assert abs(int((fit(lengths, np.array(counts), budget) * lengths).sum()) - budget) <= abs(words - budget)
+
+
+def test_many_lengths_come_within_the_shortest_one():
+    rnd = np.random.default_rng(4)
+    lengths = np.unique(np.round(np.exp(rnd.normal(6, 1.6, 4000))).astype(int) + 20)
+    counts = rnd.integers(1, 9, len(lengths))
+    for share in (0.1, 0.37, 0.73, 0.99):
+        budget = int((lengths * counts).sum() * share)
+        assert abs(int((fit(lengths, counts, budget) * lengths).sum()) - budget) <= lengths[0] // 2
 
 
 def test_fit_is_exact_with_many_short_documents():

@@ -12,7 +12,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute(rows):
+def brute(rows, percent=75):
     sets, root, holders = [shingles(t) for _, t in rows], list(range(len(rows))), {}
 
     def find(a):
@@ -22,7 +22,7 @@ def brute(rows):
 
     for i, s in enumerate(sets):
         for j, n in Counter(j for h in s for j in holders.get(h, ())).items():
-            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 root[find(i)] = find(j)
         for h in s:
             holders.setdefault(h, []).append(i)
@@ -32,8 +32,8 @@ def brute(rows):
     return {d: (len(sets[i]), least[find(i)], d == least[find(i)]) for i, (d, _) in enumerate(rows)}
 
 
-def results(df):
-    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_dedup(df).collect()}
+def results(df, **options):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_dedup(df, **options).collect()}
 
 
 def test_group_of_near_copies_in_small_blocks(docs, monkeypatch):
@@ -96,3 +96,46 @@ def test_components(spark, seed):
         root[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in nd.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {a: find(a) for a in root if find(a) != a}
+
+
+@pytest.mark.parametrize("percent", [30, 50, 90, 100])
+def test_other_thresholds_lose_no_link(docs, percent):
+    rnd = random.Random(percent)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for d in range(300):
+        if d % 3 and rnd.random() < 0.8:
+            copy = rows[rnd.randrange(len(rows))][1].split()
+            for _ in range(rnd.randint(0, 12)):
+                copy[rnd.randrange(len(copy))] = rnd.choice(words)
+        else:
+            copy = rnd.choices(words, k=rnd.randint(20, 90))
+        rows.append((d, " ".join(copy)))
+    assert results(docs(rows), percent=percent) == brute(rows, percent)
+
+
+def test_matches_follow_from_the_threshold(docs):
+    assert (nd.matches(75, 40), nd.matches(75, 256)) == (17, 160)
+    assert nd.matches(100, 40) == 40 and 1 <= nd.matches(20, 40) < nd.matches(50, 40) < 17
+    for percent in (0, 101):
+        with pytest.raises(ValueError):
+            nd.near_dedup(docs([(1, "a")]), percent=percent)
+
+
+def test_words_of_two_letters_that_polynomials_confuse(docs):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(d, " ".join(f"{w}{i}" for i in range(9))) for d, w in ((1, word), (2, other))]
+    assert results(docs(rows)) == {1: (5, 1, True), 2: (5, 2, True)}
+
+
+def test_ids_of_any_type(docs):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y z"), (None, "x y z")]
+    named = docs(rows).withColumn("doc_id", F.concat(F.lit("n"), "doc_id"))
+    got = {r.doc_id: (r.component_id, r.kept) for r in nd.near_dedup(named).collect()}
+    assert got == {"n1": ("n1", True), "n2": ("n1", False), "n3": ("n3", True), None: ("n3", False)}
+    assert sorted(r.doc_id for r in nd.one_of_each(named).collect()) == ["n1", "n3"]

@@ -55,10 +55,17 @@ def test_corpus_against_brute_force(docs, corpus, monkeypatch, partition, order)
 
 
 def test_other_documents_back_off(docs, corpus):
-    new = [(1, "w1 w2 zz w3 w4 w5 w1"), (2, "zz yy"), (3, "w1 W2")]
+    new = [(1, "w1 w2 zz w3 w4 w5 w1"), (2, "zz yy"), (3, "w1 W2"), (3, "w1 W2"), (3, "zz"), (4, None), (5, " "), (None, "w3 zz w3")]
     got = ng.score_documents(docs(new), ng.count_tables(docs(corpus)))
     got = in_order([(r.doc_id, r.n_words, r.log_score) for r in got.collect()])
-    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, in_order(brute(corpus, new, 3))))
+    want = in_order(brute(corpus, new, 3))
+    assert len(got) == len(want)
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, want))
+
+
+def test_ids_must_be_whole_numbers(docs):
+    with pytest.raises(TypeError):
+        ng.score_corpus(docs([(1, "a")]).selectExpr("concat('n', doc_id) AS doc_id", "text"))
 
 
 def test_empty_table(docs):

@@ -86,3 +86,36 @@ def test_packing_round_trip():
     column = common.packed(values, [3, 0, 7])
     assert [len(v.as_py()) for v in column] == [12, 0, 28]
     assert common.unpacked(column, np.uint32).tolist() == values.tolist()
+
+
+def test_words_of_two_letters_that_polynomials_confuse(docs):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert len(set(common.hash_spans(*spans([word, other, word]))[[0, 1]])) == 2
+    rows = [(d, " ".join(f"{w}" if i == 17 else f"v{i}" for i in range(35))) for d, w in ((1, word), (2, other))]
+    assert {r.doc_id: r.n_removed for r in sd.substring_dedup(docs(rows)).collect()} == {1: 0, 2: 0}
+
+
+def spans(words):
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    return data, ends - np.array([len(w) for w in words]), ends
+
+
+def test_hash_does_not_depend_on_what_lies_around(monkeypatch):
+    words = ["one", "", "two", "one", "x" * 700, "two", "eno", "owt"]
+    whole = common.hash_spans(*spans(words))
+    monkeypatch.setattr(common, "PIECE", 8)
+    assert (common.hash_spans(*spans(words)) == whole).all()
+    assert whole[0] == whole[3] and whole[2] == whole[5] and len(set(whole.tolist())) == 6
+
+
+def test_ids_of_any_type(docs):
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"w{i}" for i in range(40))
+    named = docs([(1, text), (2, text + " end"), (None, "a")]).withColumn("doc_id", F.concat(F.lit("n"), "doc_id"))
+    got = {r.doc_id: r.n_removed for r in sd.substring_dedup(named).collect()}
+    assert got == {"n1": 40, "n2": 40, None: 0}
