@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, functions as F
 from tailseries.llm.common import U64, mix, pieces, row_key, ship, text_bytes
 from tailseries.llm.language_id import HashArray
 
-DRAWS, LEVELS = 8, 12
+DRAWS, LEVELS = 16, 12
 SUBSETS = DRAWS * LEVELS
-PLACES = 24
+PLACES = 32
 #: The fingerprint of a text without words.
 NOTHING = 1
 LEAST, MOST = 0.0005, 0.02
