@@ -3,16 +3,18 @@
 S(w | h) is count(h w) / count(h), or ALPHA times the score with a shorter history where h w is not in
 the tables; a word alone has its share of all words. A document's log score is the sum over its words.
 
-``score_corpus`` scores the corpus that is counted. Its n-grams are all in the tables, so in a
-document's sum the counts of histories cancel out but for
-
-    sum of log count(n-gram of ORDER words) - sum of log count(n-gram of ORDER - 1 words, not at an end) - log N
-
-Exploded n-grams go to the hash partition of their table, packed by block of documents: 6 bytes of hash,
-how often the document has it, and its weight in the sum. A partition counts its n-grams, joins the
-counts to them, and sums by document; the sums of all partitions are added up. N-grams so frequent that
-they would fill a quarter of a partition are counted beforehand and scored where they occur; there are at
-most ``2 / HOT_SHARE`` of them, which bounds what is broadcast.
+``score_corpus`` scores the corpus that is counted, so no n-gram is missing from the tables. Every n-gram
+is exploded as its history and the word after it and goes to the hash partition of the history, which
+therefore holds all that S needs: the partition counts n-grams and histories, joins both counts to
+the exploded rows and sums by document; the sums of all partitions are added up. Rows travel packed by
+block of documents: 64 bits of a history once for all its words in the block, 32 bits of a word, and the
+number of the document. Two words after the same history have equal bits with a chance of 2 ** -32, two
+histories with 2 ** -64. A history that ends a document travels with no word, so it is counted too.
+
+Histories so frequent that they would fill a quarter of a partition are counted beforehand, with the n-grams
+of all lengths; their n-grams are partitioned by themselves, or scored where they occur if they are as frequent.
+There are at most ``2 / HOT_SHARE`` of them, which bounds what is broadcast. Texts shorter than a
+history are n-grams of their own: a filter of ``CELLS`` bits says which n-grams to count for them.
 
 ``count_tables`` and ``score_documents`` do the same as plain tables and joins for other documents,
 with backing off.
@@ -21,24 +23,13 @@ with backing off.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tailseries.llm.common import (
-    U64,
-    Piece,
-    Rolling,
-    grouped,
-    mix,
-    packed,
-    pieces,
-    row_key,
-    ship,
-    text_bytes,
-    unpacked,
-)
+from tailseries.llm.common import U64, Piece, Rolling, hash_spans, mix, pieces, row_key, ship
 from tailseries.llm.language_id import HashArray
 
 ORDER, ALPHA = 3, 0.4
@@ -46,8 +37,11 @@ ORDER, ALPHA = 3, 0.4
 PARTITION = 4_000_000
 HOT_SHARE = 1e-6
 #: Bytes of text in a block of documents.
-DOCS = 3 << 20
+DOCS = 4 << 20
+#: Bits of the filter of short texts; where it fills up, more n-grams are counted than are asked for.
+CELLS = 1 << 23
 _WORDS = Rolling(0xE7037ED1A0B428DB)
+_CODEC = "zstd"
 
 
 def _starts(p: Piece, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,22 +52,12 @@ def _starts(p: Piece, n: int) -> tuple[np.ndarray, np.ndarray]:
     return p.first[row] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count), row
 
 
-def _grams(p: Piece, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Hashes, rows and weights of the n-grams that a document's sum needs, by number of words.
-
-    Of shorter documents the whole text is the n-gram that counts.
-    """
+def _grams(p: Piece, order: int) -> Iterator[np.ndarray]:
+    """Hashes of the n-grams of a piece, by number of words."""
     prefix = _WORDS.prefix(mix(p.hashes))
-    words = np.diff(p.first)
     for n in range(order, 0, -1):
-        at, row = _starts(p, n)
-        h = _WORDS.ranges(prefix, at, at + n)
-        if n == order:
-            weight = np.ones(len(at), np.int32)
-        else:
-            inside = (at > p.first[row]) & (at + n < p.first[row + 1])
-            weight = np.where(words[row] == n, 1, -inside.astype(np.int32) if n == order - 1 else 0).astype(np.int32)
-        yield h, row, weight
+        at, _ = _starts(p, n)
+        yield _WORDS.ranges(prefix, at, at + n)
 
 
 def _frequent(order: int, share: float):
@@ -83,7 +67,7 @@ def _frequent(order: int, share: float):
             held: list[list[np.ndarray]] = [[] for _ in range(order)]
             for p in pieces(batch.column("_text"), lower=True):
                 total += len(p.hashes)
-                for i, (h, _, _) in enumerate(_grams(p, order)):
+                for i, h in enumerate(_grams(p, order)):
                     held[i].append(h)
             for parts in held:
                 h, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, U64), np.zeros(0, int))
@@ -99,7 +83,7 @@ def _counted(shared, order: int):
         total = np.zeros(len(table.keys), np.int64)
         for batch in batches:
             for p in pieces(batch.column("_text"), lower=True):
-                for h, _, _ in _grams(p, order):
+                for h in _grams(p, order):
                     at = table.find(h)
                     total += np.bincount(at[at >= 0], minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "n"])
@@ -132,118 +116,297 @@ def frequent_grams(texts: DataFrame, words: int, order: int, share: float) -> tu
     return table, np.log(np.maximum(total, 1))
 
 
-_BLOCK = "bucket int, unit long, ids binary, k2 binary, words binary, base binary, sizes binary, low binary, high binary, tf binary, weight binary"
-_NAMES = [c.split()[0] for c in _BLOCK.split(", ")]
-
-
-def _explode(shared, order: int, buckets: int):
-    def block(keys: tuple[np.ndarray, np.ndarray], parts: list, hot: HashArray, hot_log: np.ndarray, number: int):
-        """Rows of all buckets for the documents of some pieces; parts hold the pieces' n-grams."""
-        words = np.concatenate([p[0] for p in parts])
-        first = np.cumsum([0] + [len(p[0]) for p in parts])
-        h = np.concatenate([g[0] for p in parts for g in p[1]])
-        row = np.concatenate([g[1] + f for p, f in zip(parts, first) for g in p[1]])
-        weight = np.concatenate([g[2] for p in parts for g in p[1]])
-        n, base = len(words), np.zeros(len(words))
-        if len(hot.keys):
-            at = hot.find(h)
-            often = at >= 0
-            base += np.bincount(row[often], weights=weight[often] * hot_log[at[often]], minlength=n)
-            h, row, weight = h[~often], row[~often], weight[~often]
-        order_ = np.lexsort((h, row))
-        h, row, weight = h[order_], row[order_], weight[order_]
-        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else order_
-        tf = np.diff(np.append(new, len(h)))
-        if len(new):
-            weight = np.add.reduceat(weight, new)
-        h, row = h[new], row[new]
-        bucket = (h % U64(buckets)).astype(np.int64)
-        by, sizes = grouped(bucket, buckets)
-        h, row = mix(h ^ U64(0x589965CC75374CC3))[by], row[by]
-        per_row = np.bincount(bucket[by] * n + row, minlength=buckets * n).astype(np.uint32)
-        # A unit is a block of documents; its name is the same whenever it is computed from the same rows.
-        unit = int(mix(np.add.reduce(mix(keys[0].view(U64)) ^ keys[1].view(U64), keepdims=True) + U64(number))[0].view(np.int64))
-        ids, k2 = keys[0].tobytes(), keys[1].tobytes()
-        keep = np.flatnonzero(sizes)
-        # The first bucket's row also carries the numbers of words, so there always is one.
-        keep = keep if len(keep) and keep[0] == 0 else np.concatenate([[0], keep])
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
-        for b in keep:
-            lo, hi = offsets[b], offsets[b + 1]
-            yield (
-                int(b),
-                unit,
-                ids,
-                k2,
-                words.tobytes() if b == 0 else b"",
-                base.tobytes() if b == 0 else b"",
-                per_row[b * n : (b + 1) * n].tobytes(),
-                (h[lo:hi] & U64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
-                ((h[lo:hi] >> U64(32)) & U64(0xFFFF)).astype(np.uint16).tobytes(),
-                tf[by][lo:hi].astype(np.uint32).tobytes(),
-                weight[by][lo:hi].astype(np.int32).tobytes(),
-            )
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (mix(h ^ U64(0x589965CC75374CC3)) & U64(CELLS - 1)).astype(np.int64)
+
+
+def _sized(order: int):
+    """Numbers of words (slot -1), and the filter's words of 64 bits for texts shorter than a history."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            total, cells = 0, [np.zeros(0, np.int64)]
+            for p in pieces(batch.column("_text"), lower=True, hashed=False):
+                words = np.diff(p.first)
+                total += len(p.starts)
+                row = np.flatnonzero((words > 0) & (words < order - 1))
+                if len(row):
+                    own = np.flatnonzero(np.isin(p.row_of_word, row))
+                    ends = np.cumsum(words[row])
+                    prefix = _WORDS.prefix(mix(hash_spans(_folded(p), p.starts[own], p.ends[own])))
+                    cells.append(_cells(_WORDS.ranges(prefix, ends - words[row], ends)))
+            cell = np.unique(np.concatenate(cells))
+            slot = np.concatenate([[-1], cell >> 6])
+            bits = np.concatenate([[0], np.int64(1) << (cell & 63)])
+            n = np.zeros(len(slot), np.int64)
+            n[0] = total
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(bits), pa.array(n)], names=["slot", "bits", "n"])
+
+    return run
+
+
+def _folded(p: Piece) -> np.ndarray:
+    upper = (p.data >= 65) & (p.data <= 90)
+    return p.data + (upper.astype(np.uint8) << 5)
+
+
+def sizes(texts: DataFrame, order: int) -> tuple[int, np.ndarray]:
+    """Number of all words, and the filter of the texts shorter than a history (none without such texts)."""
+    found = (
+        texts.mapInArrow(_sized(order), "slot long, bits long, n long")
+        .groupBy("slot")
+        .agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n"))
+        .toArrow()
+    )
+    slot, bits = found.column("slot").to_numpy(), found.column("bits").to_numpy()
+    words = int(found.column("n").to_numpy().sum()) if found.num_rows else 0
+    if not (slot >= 0).any():
+        return words, np.zeros(0, U64)
+    filled = np.zeros(CELLS >> 6, U64)
+    filled[slot[slot >= 0]] = bits[slot >= 0].view(U64)
+    return words, filled
+
+
+@dataclass
+class _Shared:
+    hot: HashArray
+    logs: np.ndarray
+    short: np.ndarray
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        return self.hot.find(h) if len(self.hot.keys) else np.full(len(h), -1)
+
+    def asked(self, h: np.ndarray) -> np.ndarray:
+        cell = _cells(h)
+        return (self.short[cell >> 6] >> (cell & 63).astype(U64)) & U64(1) == 1
+
+
+@dataclass
+class _Exploded:
+    """N-grams of some documents.
+
+    history, word, mark: of every n-gram; word is 0 at a document's end; mark is twice the row, plus 1 for
+    the document's first. gram, row, n, weight: n-grams partitioned by themselves. words, base: by row.
+    """
+
+    history: np.ndarray
+    word: np.ndarray
+    mark: np.ndarray
+    gram: np.ndarray
+    row: np.ndarray
+    n: np.ndarray
+    weight: np.ndarray
+    words: np.ndarray
+    base: np.ndarray
+
+    @classmethod
+    def joined(cls, parts: list[_Exploded]) -> _Exploded:
+        first = np.cumsum([0] + [len(p.words) for p in parts])
+        for p, f in zip(parts, first):
+            p.mark, p.row = p.mark + np.uint32(2 * f), p.row + np.uint32(f)
+        return cls(*[np.concatenate([getattr(p, name) for p in parts]) for name in cls.__dataclass_fields__])
+
+
+def _exploded(p: Piece, order: int, shared: _Shared) -> _Exploded:
+    prefix = _WORDS.prefix(mix(p.hashes))
+    words = np.diff(p.first)
+    base = np.zeros(len(words))
+    alone = []
+
+    def add(row, value):
+        base[:] += np.bincount(row, weights=value, minlength=len(base))
+
+    def by_themselves(h, row, weight):
+        spot = shared.find(h)
+        add(row[spot >= 0], shared.logs[spot[spot >= 0]] * weight[spot >= 0])
+        h, row, weight = (x[spot < 0] for x in (h, row, weight))
+        own = weight > 0
+        # N-grams that only count need no row.
+        rest, n = np.unique(h[~own], return_counts=True)
+        alone.append((h[own], row[own], np.ones(own.sum(), np.uint32), weight[own]))
+        alone.append((rest, np.zeros(len(rest), int), n, np.zeros(len(rest), int)))
+
+    if order == 1:
+        at, row = _starts(p, 1)
+        by_themselves(_WORDS.ranges(prefix, at, at + 1), row, np.ones(len(at), int))
+        history, word, mark = np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+    else:
+        at, row = _starts(p, order - 1)
+        after = at + order - 1
+        history = _WORDS.ranges(prefix, at, after)
+        inside = after < p.first[row + 1]
+        word = np.zeros(len(at), np.uint32)
+        word[inside] = np.maximum(p.hashes[after[inside]] >> U64(32), U64(1)).astype(np.uint32)
+        begins = at == p.first[row]
+        spot = shared.find(history)
+        often = np.flatnonzero(spot >= 0)
+        if len(often):
+            add(row[often], shared.logs[spot[often]] * (begins[often].astype(int) - inside[often]))
+            often = often[inside[often]]
+            by_themselves(_WORDS.ranges(prefix, at[often], at[often] + order), row[often], np.ones(len(often), int))
+        mark = (2 * row + begins).astype(np.uint32)
+        if (spot >= 0).any():
+            history, word, mark = (x[spot < 0] for x in (history, word, mark))
+    if len(shared.short):
+        for n in range(1, order - 1):
+            at, row = _starts(p, n)
+            h = _WORDS.ranges(prefix, at, at + n)
+            asked = shared.asked(h)
+            by_themselves(h[asked], row[asked], (words[row] == n)[asked].astype(int))
+    gram, row, n, weight = (np.concatenate([x[i] for x in alone]) if alone else np.zeros(0, int) for i in range(4))
+    small = (x.astype(np.uint32) for x in (row, n, weight))
+    return _Exploded(history, word, mark, gram.astype(U64), *small, words, base)
+
+
+def _planes(*arrays: np.ndarray) -> bytes:
+    """Whole numbers of 32 bits, byte by byte, compressed: most high bytes are alike."""
+    flat = np.concatenate(arrays).astype(np.uint32)
+    return pa.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes(), _CODEC, asbytes=True)
+
+
+def _of_planes(data: bytes, *counts: int) -> list[np.ndarray]:
+    total = sum(counts)
+    flat = np.frombuffer(pa.decompress(data, 4 * total, _CODEC, asbytes=True), np.uint8)
+    values = np.ascontiguousarray(flat.reshape(4, total).T).view(np.uint32).reshape(-1)
+    return np.split(values, np.cumsum(counts)[:-1])
+
+
+_SCHEMA = pa.schema(
+    [
+        ("bucket", pa.int32()),
+        ("unit", pa.int64()),
+        ("histories", pa.int32()),
+        ("grams", pa.int32()),
+        ("alone", pa.int32()),
+        ("numbers", pa.binary()),
+        ("low", pa.binary()),
+        ("words", pa.binary()),
+        ("keys", pa.binary()),
+        ("ids", pa.list_(pa.int64())),
+        ("n_words", pa.binary()),
+        ("base", pa.binary()),
+    ]
+)
+_BLOCK = (
+    "bucket int, unit long, histories int, grams int, alone int, numbers binary, low binary, words binary, keys binary, "
+    "ids array<bigint>, n_words binary, base binary"
+)
+
+
+def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> U64(32)) * U64(buckets)) >> U64(32)
+
+
+def _rows(x: _Exploded, ids: list, unit: int, buckets: int) -> Iterator[tuple]:
+    """Packed rows of a block for the partitions of the tables; one of them carries the ids."""
+    by = np.argsort(x.history)
+    history, word, mark = x.history[by], x.word[by], x.mark[by]
+    new = np.flatnonzero(np.concatenate([[True], history[1:] != history[:-1]])[: len(history)])
+    distinct, times = history[new], np.diff(np.append(new, len(history)))
+    by = np.argsort(x.gram)
+    gram, row, n, weight = x.gram[by], x.row[by], x.n[by], x.weight[by]
+    cut = np.searchsorted(_bucket_of(distinct, buckets), np.arange(buckets + 1))
+    cut_gram = np.searchsorted(_bucket_of(gram, buckets), np.arange(buckets + 1))
+    places = np.append(new, len(history))
+    home = unit % buckets
+    for b in np.flatnonzero((np.diff(cut) > 0) | (np.diff(cut_gram) > 0) | (np.arange(buckets) == home)):
+        lo, hi, glo, ghi = cut[b], cut[b + 1], cut_gram[b], cut_gram[b + 1]
+        h = distinct[lo:hi]
+        high = (h >> U64(40)).astype(np.int64)
+        inner = slice(places[lo], places[hi])
+        yield (
+            int(b),
+            unit,
+            int(hi - lo),
+            int(places[hi] - places[lo]),
+            int(ghi - glo),
+            _planes(np.diff(high, prepend=0), times[lo:hi], mark[inner], row[glo:ghi], n[glo:ghi], weight[glo:ghi]),
+            np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes(),
+            word[inner].tobytes(),
+            gram[glo:ghi].tobytes(),
+            ids if b == home else None,
+            x.words.astype(np.int64).tobytes() if b == home else None,
+            x.base.tobytes() if b == home else None,
+        )
+
+
+def _explode(broadcast, order: int, buckets: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
-        hot, hot_log = shared.value
-        number = TaskContext.get().partitionId() << 32
-        types = [pa.int32(), pa.int64()] + [pa.binary()] * (len(_NAMES) - 2)
+        shared = broadcast.value
+        # A unit is a block of documents; its name is the same whenever it is computed from the same rows.
+        unit = TaskContext.get().partitionId() << 32
         for batch in batches:
-            k1, k2 = batch.column("_k1").to_numpy(), batch.column("_k2").to_numpy()
-            parts, start, size = [], 0, 0
-            at = 0
+            ids = batch.column("_id")
+            parts, start, filled = [], 0, 0
             for p in pieces(batch.column("_text"), lower=True):
-                parts.append((np.diff(p.first), list(_grams(p, order))))
-                size += len(p.data)
-                at = p.hi
-                if size >= DOCS or at == batch.num_rows:
-                    number += 1
-                    rows = list(block((k1[start:at], k2[start:at]), parts, hot, hot_log, number))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=_NAMES)
-                    parts, start, size = [], at, 0
+                parts.append(_exploded(p, order, shared))
+                filled += len(p.data)
+                if filled >= size or p.hi == batch.num_rows:
+                    unit += 1
+                    rows = _rows(_Exploded.joined(parts), ids[start : p.hi].to_pylist(), unit, buckets)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
+                    parts, start, filled = [], p.hi, 0
 
     return run
 
 
-def _count_and_sum(table: pa.Table) -> pa.Table:
-    """Counts of a partition's n-grams, joined to them and summed by document."""
-    table = table.combine_chunks()
-    low, high = unpacked(table.column("low"), np.uint32), unpacked(table.column("high"), np.uint16)
-    h = low.astype(U64) | (high.astype(U64) << U64(32))
-    tf, weight = unpacked(table.column("tf"), np.uint32), unpacked(table.column("weight"), np.int32)
-    sizes = unpacked(table.column("sizes"), np.uint32).astype(np.int64)
-    order = np.argsort(h)
-    h = h[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+def _times(keys: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+    """Logarithm of how often every key is there, and the keys' ranks."""
+    by = np.argsort(keys)
+    ordered = keys[by]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(keys)]
     begins = np.flatnonzero(new)
-    total = np.add.reduceat(tf[order].astype(np.int64), begins) if len(begins) else begins
-    logs = np.empty(len(h))
-    logs[order] = np.log(total)[np.cumsum(new) - 1] if len(h) else 0
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    sums = np.bincount(row, weights=weight * logs, minlength=len(sizes))
-    docs = [len(i.as_py()) // 8 for i in table.column("ids")]
-    return pa.table(
-        {
-            "unit": table.column("unit"),
-            "ids": table.column("ids"),
-            "k2": table.column("k2"),
-            "words": table.column("words"),
-            "base": table.column("base"),
-            "sums": packed(sums, docs),
-        }
-    )
+    total = np.diff(np.append(begins, len(keys))) if n is None else np.add.reduceat(n[by].astype(np.int64), begins) if len(begins) else begins
+    rank = np.empty(len(keys), np.int64)
+    rank[by] = np.cumsum(new) - 1
+    return np.log(total)[rank] if len(keys) else np.zeros(0), rank
+
+
+def _count_and_sum(table: pa.Table) -> pa.Table:
+    """Counts of a partition's n-grams and histories, joined to the exploded n-grams and summed by document."""
+    history, times, mark, row, n, weight = ([] for _ in range(6))
+    sizes = [table.column(c).to_pylist() for c in ("histories", "grams", "alone")]
+    for h, g, a, numbers, low in zip(*sizes, table.column("numbers").to_pylist(), table.column("low").to_pylist()):
+        parts = _of_planes(numbers, h, h, g, a, a, a)
+        key = np.zeros((h, 8), np.uint8)
+        key[:, :5] = np.frombuffer(low, np.uint8).reshape(h, 5)
+        history.append(key.view(U64).reshape(-1) | (np.cumsum(parts[0], dtype=U64) << U64(40)))
+        for held, part in zip((times, mark, row, n, weight), parts[1:]):
+            held.append(part)
+    word = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint32)
+    mark, row, weight = np.concatenate(mark), np.concatenate(row), np.concatenate(weight)
+    history = np.repeat(np.concatenate(history), np.concatenate(times))
+    log_h, rank = _times(history)
+    del history
+    log_g, _ = _times((rank << 32) | word)
+    inside = word > 0
+    value = np.where(inside, log_g, 0) + log_h * ((mark & 1).astype(np.int8) - inside)
+    gram = np.frombuffer(b"".join(table.column("keys").to_pylist()), U64)
+    alone = _times(gram, np.concatenate(n))[0] * weight
+    mark >>= 1
+    rows, sums, at, at_alone = [], [], 0, 0
+    for g, a in zip(*sizes[1:]):
+        doc = np.concatenate([mark[at : at + g], row[at_alone : at_alone + a]])
+        total = np.bincount(doc, weights=np.concatenate([value[at : at + g], alone[at_alone : at_alone + a]]))
+        keep = np.flatnonzero(total)
+        rows.append(keep.astype(np.uint32).tobytes())
+        sums.append(total[keep].tobytes())
+        at, at_alone = at + g, at_alone + a
+    kept = table.select(["unit", "bucket", "ids", "n_words", "base"])
+    return kept.append_column("rows", pa.array(rows, pa.binary())).append_column("sums", pa.array(sums, pa.binary()))
 
 
 def _add_up(table: pa.Table) -> pa.Table:
     """The sums of all partitions for one block of documents."""
-    ids = np.frombuffer(table.column("ids")[0].as_py(), np.int64)
-    k2 = np.frombuffer(table.column("k2")[0].as_py(), np.int64)
-    words, base = unpacked(table.column("words"), np.int64), unpacked(table.column("base"), np.float64)
-    parts = sorted(s.as_py() for s in table.column("sums"))
-    total = base + np.sum([np.frombuffer(s, np.float64) for s in parts], axis=0)
-    return pa.table({"_k1": ids, "_k2": k2, "n_words": words, "total": total})
+    table = table.sort_by("bucket")
+    home = next(i for i, x in enumerate(table.column("n_words").to_pylist()) if x is not None)
+    total = np.frombuffer(table.column("base")[home].as_py(), np.float64).copy()
+    for rows, sums in zip(table.column("rows").to_pylist(), table.column("sums").to_pylist()):
+        total[np.frombuffer(rows, np.uint32)] += np.frombuffer(sums, np.float64)
+    words = np.frombuffer(table.column("n_words")[home].as_py(), np.int64)
+    return pa.table({"_id": table.column("ids")[home].values, "n_words": words, "total": total})
 
 
 def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
@@ -253,33 +416,36 @@ def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     null ones too, have log_score 0 and no mean. Repeated rows count as often as they occur. Ids must
     be whole numbers, others are an error; null ids stay null. An empty table gives no rows.
     """
-    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+    kind = dict(docs.dtypes)[id_col]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{id_col} must be a whole number")
     spark = ship(docs.sparkSession)
-    k1, k2 = row_key(id_col, text_col)
-    texts = docs.select(k1, k2, F.col(text_col).alias("_text"))
-    words = docs.select(
-        F.sum(F.size(F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != ""))).alias("n")
-    ).first().n or 0
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    words, short = sizes(texts.select("_text"), order)
     share = max(HOT_SHARE, PARTITION / (4 * max(words, 1)))
     if share < 0.5:
-        hot = frequent_grams(texts.select("_text"), words, order, share)
+        hot, logs = frequent_grams(texts.select("_text"), words, order, share)
     else:
-        hot = HashArray(np.zeros(0, U64), np.zeros(0, np.int8)), np.zeros(0)
-    shared = spark.sparkContext.broadcast(hot)
-    buckets = 2 * words // PARTITION + 1
+        hot, logs = HashArray(np.zeros(0, U64), np.zeros(0, np.int8)), np.zeros(0)
+    shared = spark.sparkContext.broadcast(_Shared(hot, logs, short))
+    buckets = words // PARTITION + 1
     sums = (
-        texts.mapInArrow(_explode(shared, order, buckets), _BLOCK)
+        texts.mapInArrow(_explode(shared, order, buckets, DOCS), _BLOCK)
+        # Few partitions of the tables in a task, at any size.
+        .repartition(2 * buckets, "bucket")
         .groupBy("bucket")
-        .applyInArrow(_count_and_sum, "unit long, ids binary, k2 binary, words binary, base binary, sums binary")
+        .applyInArrow(
+            _count_and_sum,
+            "unit long, bucket int, ids array<bigint>, n_words binary, base binary, rows binary, sums binary",
+        )
         .groupBy("unit")
-        .applyInArrow(_add_up, "_k1 long, _k2 long, n_words long, total double")
+        .applyInArrow(_add_up, "_id long, n_words long, total double")
     )
     # Of longer histories than none, only the first word's is all words.
     whole = F.col("n_words") if order == 1 else F.lit(1)
     log_score = F.when(F.col("n_words") > 0, F.col("total") - whole * F.log(F.lit(float(max(words, 1))))).otherwise(0.0)
     return sums.select(
-        F.when(F.col("_k1") != -(1 << 63), F.col("_k1")).cast(dict(docs.dtypes)[id_col]).alias(id_col),
+        F.col("_id").cast(kind).alias(id_col),
         "n_words",
         log_score.alias("log_score"),
         F.when(F.col("n_words") > 0, log_score / F.col("n_words")).alias("mean_log_score"),

@@ -44,7 +44,7 @@ def corpus():
     return rows + [(90, None), (None, "a w1 w2 w3"), (91, "solo"), (92, "a b"), (92, "a b"), (93, "w1 " * 3000)]
 
 
-@pytest.mark.parametrize("partition,order", [(4_000_000, 3), (100, 3), (40, 2), (40, 1)])
+@pytest.mark.parametrize("partition,order", [(4_000_000, 3), (100, 3), (40, 2), (40, 1), (100, 4)])
 def test_corpus_against_brute_force(docs, corpus, monkeypatch, partition, order):
     monkeypatch.setattr(ng, "PARTITION", partition)
     monkeypatch.setattr(ng, "DOCS", 300)
