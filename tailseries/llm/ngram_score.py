@@ -34,7 +34,7 @@ from tailseries.llm.language_id import HashArray
 
 ORDER, ALPHA = 3, 0.4
 #: N-grams in a partition of the tables.
-PARTITION = 4_000_000
+PARTITION = 3_000_000
 HOT_SHARE = 1e-6
 #: Bytes of text in a block of documents.
 DOCS = 4 << 20
@@ -44,35 +44,31 @@ _WORDS = Rolling(0xE7037ED1A0B428DB)
 _CODEC = "zstd"
 
 
-def _starts(p: Piece, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and row of every n-gram of a piece."""
-    words = np.diff(p.first)
-    count = np.maximum(words - n + 1, 0)
+def _starts(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and row of every n-gram of rows that begin at these words."""
+    count = np.maximum(np.diff(first) - n + 1, 0)
     row = np.repeat(np.arange(len(count)), count)
-    return p.first[row] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count), row
+    return first[row] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count), row
 
 
-def _grams(p: Piece, order: int) -> Iterator[np.ndarray]:
-    """Hashes of the n-grams of a piece, by number of words."""
-    prefix = _WORDS.prefix(mix(p.hashes))
-    for n in range(order, 0, -1):
-        at, _ = _starts(p, n)
-        yield _WORDS.ranges(prefix, at, at + n)
+def _grams(first: np.ndarray, prefix: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams of rows that begin at these words."""
+    at, _ = _starts(first, n)
+    return _WORDS.ranges(prefix, at, at + n)
 
 
 def _frequent(order: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            total = 0
-            held: list[list[np.ndarray]] = [[] for _ in range(order)]
-            for p in pieces(batch.column("_text"), lower=True):
-                total += len(p.hashes)
-                for i, h in enumerate(_grams(p, order)):
-                    held[i].append(h)
-            for parts in held:
-                h, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, U64), np.zeros(0, int))
-                often = n >= max(2, share * total)
-                yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often])], names=["h", "n"])
+            held = [(p.first, _WORDS.prefix(mix(p.hashes))) for p in pieces(batch.column("_text"), lower=True)]
+            least = max(2, int(np.ceil(share * sum(first[-1] for first, _ in held))))
+            for n in range(1, order + 1):
+                h = np.concatenate([np.zeros(0, U64), *[_grams(*x, n) for x in held]])
+                h.sort()
+                # What occurs so often stands that far from itself.
+                often = np.unique(h[: max(0, len(h) - least + 1)][h[least - 1 :] == h[: max(0, len(h) - least + 1)]])
+                times = np.searchsorted(h, often, "right") - np.searchsorted(h, often)
+                yield pa.RecordBatch.from_arrays([pa.array(often.view(np.int64)), pa.array(times)], names=["h", "n"])
 
     return run
 
@@ -83,8 +79,9 @@ def _counted(shared, order: int):
         total = np.zeros(len(table.keys), np.int64)
         for batch in batches:
             for p in pieces(batch.column("_text"), lower=True):
-                for h in _grams(p, order):
-                    at = table.find(h)
+                prefix = _WORDS.prefix(mix(p.hashes))
+                for n in range(1, order + 1):
+                    at = table.find(_grams(p.first, prefix, n))
                     total += np.bincount(at[at >= 0], minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "n"])
 
@@ -227,11 +224,11 @@ def _exploded(p: Piece, order: int, shared: _Shared) -> _Exploded:
         alone.append((rest, np.zeros(len(rest), int), n, np.zeros(len(rest), int)))
 
     if order == 1:
-        at, row = _starts(p, 1)
+        at, row = _starts(p.first, 1)
         by_themselves(_WORDS.ranges(prefix, at, at + 1), row, np.ones(len(at), int))
         history, word, mark = np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
     else:
-        at, row = _starts(p, order - 1)
+        at, row = _starts(p.first, order - 1)
         after = at + order - 1
         history = _WORDS.ranges(prefix, at, after)
         inside = after < p.first[row + 1]
@@ -249,7 +246,7 @@ def _exploded(p: Piece, order: int, shared: _Shared) -> _Exploded:
             history, word, mark = (x[spot < 0] for x in (history, word, mark))
     if len(shared.short):
         for n in range(1, order - 1):
-            at, row = _starts(p, n)
+            at, row = _starts(p.first, n)
             h = _WORDS.ranges(prefix, at, at + n)
             asked = shared.asked(h)
             by_themselves(h[asked], row[asked], (words[row] == n)[asked].astype(int))
@@ -359,8 +356,10 @@ def _times(keys: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(keys)]
     begins = np.flatnonzero(new)
     total = np.diff(np.append(begins, len(keys))) if n is None else np.add.reduceat(n[by].astype(np.int64), begins) if len(begins) else begins
-    rank = np.empty(len(keys), np.int64)
-    rank[by] = np.cumsum(new) - 1
+    del ordered
+    rank = np.empty(len(keys), np.int32)
+    rank[by] = np.cumsum(new, dtype=np.int32) - 1
+    del by
     return np.log(total)[rank] if len(keys) else np.zeros(0), rank
 
 
@@ -380,9 +379,17 @@ def _count_and_sum(table: pa.Table) -> pa.Table:
     history = np.repeat(np.concatenate(history), np.concatenate(times))
     log_h, rank = _times(history)
     del history
-    log_g, _ = _times((rank << 32) | word)
+    key = rank.astype(np.int64)
+    del rank
+    key <<= 32
+    key |= word
+    log_g, _ = _times(key)
+    del key
     inside = word > 0
-    value = np.where(inside, log_g, 0) + log_h * ((mark & 1).astype(np.int8) - inside)
+    log_h *= (mark & 1).astype(np.int8) - inside
+    value = np.where(inside, log_g, 0)
+    value += log_h
+    del log_g, log_h
     gram = np.frombuffer(b"".join(table.column("keys").to_pylist()), U64)
     alone = _times(gram, np.concatenate(n))[0] * weight
     mark >>= 1
@@ -431,8 +438,8 @@ def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     buckets = words // PARTITION + 1
     sums = (
         texts.mapInArrow(_explode(shared, order, buckets, DOCS), _BLOCK)
-        # Few partitions of the tables in a task, at any size.
-        .repartition(2 * buckets, "bucket")
+        # One partition of the tables in a task, at any size.
+        .repartitionById(buckets, "bucket")
         .groupBy("bucket")
         .applyInArrow(
             _count_and_sum,
