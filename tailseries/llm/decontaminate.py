@@ -7,7 +7,8 @@ blocks of BLOCK_ITEMS; the largest weight of each term in a block bounds what a
 there, and only blocks whose bounds reach 1 are scored item by item. What is retrieved is confirmed:
 ``overlap`` of the word shingles of the item's question, and of its answer, must occur in the passage.
 
-An index holds at most ITEMS items, so what is broadcast is bounded; more items take more passes.
+An index holds at most ITEMS items, so what is broadcast is bounded; more items take more passes. Document
+frequencies, mean and longest length are of all items, so scores and passages do not depend on that.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tailseries.llm.common import U64, Rolling, mix, pieces, ship
+from tailseries.llm.common import U64, Rolling, mix, pieces, scratch, ship
 
 BLOCK_ITEMS = 8
 ITEMS = 1024
@@ -52,10 +53,27 @@ class Block:
     weights: np.ndarray
 
 
+@dataclass
+class Statistics:
+    """Of all items with words: how many, their mean and longest length, and in how many of them terms occur."""
+
+    items: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[np.ndarray]) -> Statistics:
+        lengths = [len(w) for w in words] or [0]
+        terms, df = np.unique(np.concatenate([np.zeros(0, U64), *map(np.unique, words)]), return_counts=True)
+        return cls(len(words), float(np.mean(lengths)), max(lengths), terms, df)
+
+
 class Index:
-    """BM25 weights of up to ITEMS items; items without words are left out."""
+    """BM25 weights of up to ITEMS items, by the statistics of all; items without words are left out."""
 
-    def __init__(self, items: list[tuple[object, str, str]], share: float):
+    def __init__(self, items: list[tuple[object, str, str]], share: float, of_all: Statistics | None = None):
         parts = [(i, _hashes(q), _hashes(a)) for i, q, a in items]
         parts = [p for p in parts if len(p[1]) + len(p[2])]
         self.ids = [p[0] for p in parts]
@@ -64,12 +82,13 @@ class Index:
         )
         words = [np.concatenate(p[1:]) for p in parts]
         lengths = np.array([len(w) for w in words])
-        self.stride = max([SHORTEST, *lengths])
+        of_all = of_all or Statistics.of(words)
+        self.stride = max(SHORTEST, of_all.longest)
         self.terms = np.unique(np.concatenate(words)) if words else np.zeros(0, U64)
         # Weighted one by one, then cut into blocks.
         counted = [np.unique(np.searchsorted(self.terms, w), return_counts=True) for w in words]
-        df = np.bincount(np.concatenate([t for t, _ in counted]), minlength=len(self.terms)) if words else np.zeros(0)
-        idf = np.log1p((len(words) - df + 0.5) / (df + 0.5))
+        df = of_all.df[np.searchsorted(of_all.terms, self.terms)]
+        idf = np.log1p((of_all.items - df + 0.5) / (df + 0.5))
         self.blocks: list[Block] = []
         self.threshold = np.zeros(len(words))
         self.bounds = np.zeros((len(self.terms), -(-len(words) // BLOCK_ITEMS)), np.float32)
@@ -78,7 +97,7 @@ class Index:
             terms = np.unique(np.concatenate([t for t, _ in mine]))
             weights = np.zeros((len(terms), len(mine)), np.float32)
             for k, (t, tf) in enumerate(mine):
-                norm = K1 * (1 - B + B * lengths[lo + k] / lengths.mean())
+                norm = K1 * (1 - B + B * lengths[lo + k] / of_all.mean)
                 w = idf[t] * tf * (K1 + 1) / (tf + norm)
                 self.threshold[lo + k] = share * w.sum()
                 weights[np.searchsorted(terms, t), k] = w / self.threshold[lo + k]
@@ -147,26 +166,64 @@ def parts(text: str | None) -> tuple[str, str]:
     return (" ".join(words[:cut]), " ".join(words[cut:])) if cut > 0 else (" ".join(words), "")
 
 
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct terms of every item, and as term null its length."""
+    for batch in batches:
+        terms, lengths = [], []
+        for q, a in zip(batch.column("q").to_pylist(), batch.column("a").to_pylist()):
+            words = np.concatenate([_hashes(q), _hashes(a)])
+            if len(words):
+                found = np.unique(words).view(np.int64).tolist()
+                terms += [None, *found]
+                lengths += [len(words), *[None] * len(found)]
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(lengths, pa.int64())], names=["term", "length"])
+
+
+def _split_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cut = [parts(t) for t in batch.column("q").to_pylist()]
+        columns = [batch.column("i"), *(pa.array([c[k] for c in cut], pa.string()) for k in (0, 1))]
+        yield pa.RecordBatch.from_arrays(columns, names=["i", "q", "a"])
+
+
 def indexes(
     benchmark: DataFrame, *, item_col: str, text_col: str, question_col: str | None, answer_col: str | None, share: float
 ) -> Iterator[Index]:
-    """Indexes of up to ITEMS items each; items come to the driver one index at a time."""
+    """Indexes of up to ITEMS items each; items, and the frequencies of their terms, come to the driver one index at a time."""
+    item = F.col(item_col).alias("i")
     if question_col and answer_col:
-        chosen = benchmark.select(F.col(item_col).alias("i"), F.col(question_col).alias("q"), F.col(answer_col).alias("a"))
+        chosen = benchmark.select(item, F.coalesce(question_col, F.lit("")).alias("q"), F.coalesce(answer_col, F.lit("")).alias("a"))
     else:
-        chosen = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("q"), F.lit(None).alias("a"))
-    held: list[tuple[object, str, str]] = []
-
-    def item(r: Row) -> tuple[object, str, str]:
-        return (r.i, r.q or "", r.a or "") if question_col and answer_col else (r.i, *parts(r.q))
+        kind = benchmark.schema[item_col].dataType.simpleString()
+        chosen = benchmark.select(item, F.col(text_col).alias("q")).mapInArrow(_split_items, f"i {kind}, q string, a string")
+    counted = (
+        chosen.select("q", "a")
+        .mapInArrow(_item_terms, "term long, length long")
+        .groupBy("term")
+        .agg(F.count("*").alias("n"), F.sum("length").alias("words"), F.max("length").alias("longest"))
+    )
+    counted = scratch(counted, "item_terms")
+    whole = counted.where("term IS NULL").first()
+    if whole is None:
+        return
+
+    def index(held: list[tuple[object, str, str]]) -> Index:
+        terms = np.unique(np.concatenate([_hashes(t) for _, q, a in held for t in (q, a)]))
+        wanted = benchmark.sparkSession.createDataFrame(pa.table({"term": terms.view(np.int64)}), "term long")
+        # Not more rows than an index has terms.
+        df = counted.join(wanted, "term", "left_semi").select("term", "n").toArrow()
+        at = np.argsort(df.column("term").to_numpy().view(U64))
+        found = df.column("term").to_numpy().view(U64)[at], df.column("n").to_numpy()[at]
+        return Index(held, share, Statistics(whole.n, whole.words / whole.n, whole.longest, *found))
 
+    held: list[tuple[object, str, str]] = []
     for r in chosen.toLocalIterator():
-        held.append(item(r))
+        held.append((r.i, r.q, r.a))
         if len(held) == ITEMS:
-            yield Index(held, share)
+            yield index(held)
             held = []
     if held:
-        yield Index(held, share)
+        yield index(held)
 
 
 def _pairs(shared, overlap: float, item_type: pa.DataType):

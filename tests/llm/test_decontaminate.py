@@ -62,8 +62,14 @@ def test_many_indexes_give_the_same_pairs(spark, docs, case, monkeypatch):
     texts, items = case
     table = docs(list(enumerate(texts)))
     benchmark = spark.createDataFrame([(i, f"{q} {a}") for i, q, a in items] + [(None, None), (99, "")], "item_id long, text string")
+    whole = {(r.doc_id, r.item_id): r.bm25 for r in dc.contaminated(table, benchmark).collect()}
     monkeypatch.setattr(dc, "ITEMS", 7)
-    pairs = {(r.doc_id, r.item_id) for r in dc.contaminated(table, benchmark).collect()}
+    scored = {(r.doc_id, r.item_id): r.bm25 for r in dc.contaminated(table, benchmark).collect()}
+    assert scored.keys() == whole.keys() and all(abs(scored[k] - whole[k]) < 1e-4 for k in whole)
+    stride = max(dc.SHORTEST, *(len(f"{q} {a}".split()) for _, q, a in items))
+    want = brute(texts, items, stride, 0.5, 0.5)
+    assert scored.keys() == want.keys() and all(abs(scored[k] - want[k]) < 1e-4 for k in want)
+    pairs = scored.keys()
     assert {(k, k) for k in range(20)} <= pairs
     clean = dc.decontaminate(table, benchmark)
     assert clean.columns == table.columns
