@@ -93,6 +93,14 @@ def test_windows_stay_inside_the_split(many_series):
     assert at.where("split = 'validation'").agg(F.min("t")).first()[0] == 40
 
 
+def test_steps_carry_columns_of_their_window(many_series):
+    w = windows.encoder_decoder_windows(many_series)
+    steps = windows.window_steps(w, carry=["encoder_length"]).collect()
+    sizes = {(r.Depth_m, r.Time_Idx): (len(r.encoder), len(r.decoder)) for r in w.collect()}
+    assert all(s.encoder_length == sizes[s.Depth_m, s.origin][0] for s in steps)
+    assert len(steps) == sum(a + b for a, b in sizes.values())
+
+
 def test_validation_is_scaled_by_training_rows(many_series):
     train_df, val_df = split.split_frames(split.split_per_series(many_series))
     scaling = windows.fit_scaling(train_df)
