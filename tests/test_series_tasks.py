@@ -6,7 +6,7 @@ from tailseries.operators import resample
 def _samples(spark, series, weeks=10):
     return spark.range(series * weeks).select(
         (F.col("id") % series).alias("station_id"),
-        F.lit(1).alias("Depth_m"),
+        (F.col("id") % series % 3).cast("int").alias("Depth_m"),
         F.expr(f"date_add(DATE '2020-01-06', cast(7 * floor(id / {series}) as int))").alias("Date"),
         F.col("id").cast("double").alias("O2_umol_L"),
     )
