@@ -75,8 +75,7 @@ def response_table(
     scored = _unfolded(rows, total)
     drivers = digits(F.col("scenario"), levels)
     scored = scored.withColumns(drivers)
-    for h in horizons:
-        scored = model.models[h].transform(scored).drop(f"_inputs_{h}")
+    scored = model.apply(scored, horizons)
     if not model.linear:
         scored = scored.groupBy(*by, "scenario", *levels).agg(
             F.count(F.lit(1)).alias("n"), *[F.avg(f"predicted_{h}").alias(f"predicted_{h}") for h in horizons]
