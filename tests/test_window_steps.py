@@ -32,3 +32,19 @@ def test_window_query_gathers_only_what_its_steps_show(spark, tmp_path):
     structs = re.findall(r"struct\(Time_Idx, Time_Idx#\d+(.*?)\)", _plan(steps))
     assert steps.count() > 0 and len(structs) >= 2
     assert not any(c in text for text in structs for c in ("Temp_C", "Salinity", "Chl_a", "month_sin"))
+
+
+def test_covariates_are_rounded_once_per_week_and_not_per_step(spark, tmp_path):
+    spark.range(300).selectExpr(
+        "id % 3 AS l_suppkey", "CAST(4 AS INT) AS l_linenumber",
+        "CAST(date_add(DATE '2020-01-06', CAST(id AS INT)) AS TIMESTAMP) AS l_shipdate",
+        "CAST(id % 50 AS DOUBLE) AS l_quantity", "CAST(id * 10 AS DOUBLE) AS l_extendedprice",
+        "id % 11 / 100 AS l_discount", "id % 9 / 100 AS l_tax",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    steps = QUERIES["window_covariates"](spark, str(tmp_path))
+    after, _, before = _plan(steps).partition("collect_list")
+    assert "round(" in before and "round(" not in after
+    covariates = ["Temp_C", "Salinity", "Chl_a", "month_sin", "month_cos"]
+    rows = steps.select(*covariates).collect()
+    assert len(rows) > 0 and {r.Temp_C is None for r in rows} == {True, False}
+    assert all(v is None or v == round(v, 6) for r in rows for v in r)
