@@ -15,6 +15,7 @@ from tailseries.sources.tables import (
     remove_older_weather,
     scratch_path,
     staged,
+    staged_by,
     write_series_table,
     write_weather_daily,
     write_weather_long,
@@ -33,6 +34,7 @@ __all__ = [
     "run_manifest",
     "scratch_path",
     "staged",
+    "staged_by",
     "write_leaderboard",
     "write_manifest",
     "write_series_table",
